@@ -169,7 +169,7 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("respondent"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("period"),
     ).agg(F.sum(c).alias("_s"), F.count(F.lit(1)).alias("_n"), F.max(c).alias("_hi"), F.min(c).alias("_lo"))
-    temp = F.least(F.expr("_s div _n"), F.lit(6400)) / F.lit(128.0) - 10  # whole 1/128 degrees, so sums are exact
+    temp = F.least(F.expr("_s div (50 * _n)"), F.lit(200)) / F.lit(4.0) - 10  # quarter degrees, so sums are exact
     return base.select(
         "respondent", "period", temp.alias("temp_2m"), (temp - F.col("_n") % 10).alias("dewpoint_2m"),
         ((F.col("_hi") % 6000) / F.lit(100.0)).alias("windspeed_10m"), (F.col("_s") / F.lit(100.0)).alias("solar_irradiance"),
@@ -188,7 +188,7 @@ weather_base AS (
          max(CAST(round(value * 100) AS BIGINT)) AS hi, min(CAST(round(value * 100) AS BIGINT)) AS lo
   FROM events GROUP BY 1, 2),
 weather_temp AS (
-  SELECT *, CAST(least(s // n, 6400) AS DOUBLE) / 128 - 10 AS temp FROM weather_base),
+  SELECT *, CAST(least(s // (50 * n), 200) AS DOUBLE) / 4 - 10 AS temp FROM weather_base),
 weather_hourly AS (
   SELECT respondent, period, temp AS temp_2m, temp - n % 10 AS dewpoint_2m,
          CAST(hi % 6000 AS DOUBLE) / 100 AS windspeed_10m, CAST(s AS DOUBLE) / 100 AS solar_irradiance,
