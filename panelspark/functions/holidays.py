@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.session import stored
+
 # Distance when no other period is near, and how far a period is spread.
 FAR = 365
 
@@ -155,6 +157,7 @@ _DEFAULTS = {
 
 def add_holidays(df: DataFrame, ts: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Join the holiday calendar of the years present in the data (per key) on the UTC date."""
+    df = stored(df)
     calendar = holiday_calendar(years_of(df, ts, keys), keys).withColumnRenamed("date", "_date")
     out = df.withColumn("_date", F.to_date(ts)).join(calendar, [*keys, "_date"], "left").drop("_date")
     return out.fillna(_DEFAULTS)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.panel import Panel
+from panelspark.session import stored
 
 BLOCK = "_block"
 OWN = "_own"
@@ -126,6 +127,7 @@ def row_position(df: DataFrame, panel: Panel, position: str = "row_no", total: s
     Rows are counted per block, the small table of counts gets a running sum, and positions within
     a block are added to it. No task holds a whole series.
     """
+    df = stored(df)
     blocked = with_halo(df, panel, 0, 0).drop(OWN)
     series = Window.partitionBy(*panel.keys)
     counts = blocked.groupBy(*panel.keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))

@@ -9,6 +9,7 @@ from panelspark.functions.nulls import flag, nan_to_null
 from panelspark.operators.blocks import Over, over_blocks, rolling
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.panel import Panel
+from panelspark.session import stored
 
 MAX_GAP = 6
 ANOMALY_WINDOW = 168
@@ -56,7 +57,8 @@ def grid_points(df: DataFrame, panel: Panel) -> DataFrame:
 
 
 def regular_grid(df: DataFrame, panel: Panel) -> DataFrame:
-    """Strict grid per series; steps without a row get NULL values."""
+    """Strict grid per series; steps without a row get NULL values. Reads its input twice."""
+    df = stored(df)
     return grid_points(df, panel).join(df, [*panel.keys, panel.ts], "left").select(*df.columns)
 
 
@@ -170,7 +172,7 @@ def absolute_bounds(df: DataFrame, *cols: str, high: float = MAX_DEMAND) -> Data
 def statistical_cap(df: DataFrame, panel: Panel, *cols: str, factor: float = CAP_FACTOR,
                     floor: float = CAP_FLOOR, min_rows: int = CAP_MIN_ROWS) -> DataFrame:
     """Values above ``max(factor * p95, floor)`` of their series become NULL if it has enough values."""
-    out = df
+    out = df = stored(df)
     for c in cols:
         q = exact_quantiles(df, list(panel.keys), c, {"_p95": 0.95}, count="_valid")
         cap = F.when(F.col("_valid") > min_rows, F.greatest(F.col("_p95") * factor, F.lit(float(floor))))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import stored
+
 #: Relative rank error of the sketch is 1 / ACCURACY.
 ACCURACY = 10_000
 
@@ -18,7 +20,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
                     count: str | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """One row per group with one column per entry of ``probs`` and, if named, the value count."""
     names = list(probs)
-    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    data = stored(df).where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 2.0 / accuracy
     edges = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = data.groupBy(*keys).agg(
@@ -72,5 +74,6 @@ def unpivot(df: DataFrame, keys: list[str], cols: list[str], name: str = "featur
 
 def exact_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Median of many columns at once: long rows (keys, feature, median)."""
-    long = unpivot(df.select(*keys, *cols), keys, cols)
+    long = unpivot(stored(df).select(*keys, *cols), keys, cols)
+    long._is_stored = True  # a projection of a written table
     return exact_quantiles(long, [*keys, "feature"], "value", {"median": 0.5})

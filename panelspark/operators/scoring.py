@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import finite
+from panelspark.session import stored
 
 VALIDATION_FOLDS = (0, 1, 2, 3, 4)
 OVERALL = "overall"
@@ -102,6 +103,7 @@ def compare(df: DataFrame, keys: list[str], models: dict[str, Column], target: s
 def evaluate_model(df: DataFrame, keys: list[str], fit_predict: Callable[[DataFrame, DataFrame], DataFrame],
                    name: str, target: str = "demand_mw", fold: str = "fold") -> DataFrame:
     """Walk-forward scores of any model given as ``(train, validation) -> validation with prediction``."""
+    df = stored(df)
     parts = []
     for k in VALIDATION_FOLDS:
         past = df.where(F.col(fold).between(-1, k - 1))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.nulls import flag
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.panel import Panel
-from panelspark.session import small
+from panelspark.session import small, stored
 
 AHEAD = 24
 #: A group whose members are not summed.
@@ -27,6 +27,7 @@ def regional_demand(df: DataFrame, members: DataFrame, panel: Panel, demand: str
     missing where nobody reports; it is NULL for a region without other members.
     """
     (key,) = panel.keys
+    df = stored(df)
     sizes = members.where("enabled").groupBy("region").agg(F.count(F.lit(1)).alias("_size"))
     known = members.where(~F.col("region").isin(*skip)) if skip else members
     known = small(known.join(sizes, "region", "left").select(
@@ -72,6 +73,7 @@ def stress_flags(df: DataFrame, panel: Panel, net: str = "interchange_net_lag24"
     The net flow counts exports as positive, so ``is_import_stress`` marks heavy exports; the name is
     kept for compatibility.
     """
+    df = stored(df)
     q = exact_quantiles(df, list(panel.keys), net, {"_p90": 0.9, "_p10": 0.1})
     out = df.join(q, list(panel.keys), "left")
     return out.withColumns({
@@ -87,6 +89,7 @@ def grid_stress(df: DataFrame, panel: Panel, regional: str = "regional_demand_in
     A component that is missing for the whole series is left out; a missing value of a present
     component makes the mean missing.
     """
+    df = stored(df)
     tops = df.groupBy(*panel.keys).agg(F.max(regional).alias("_r"), F.max(neighbour).alias("_n"))
     parts = [(F.col(regional), F.col("_r")), (F.col(neighbour), F.col("_n"))]
     total, used = F.lit(0.0), F.lit(0)

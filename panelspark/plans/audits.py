@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import nan_to_null
 from panelspark.operators.quantiles import exact_quantiles
+from panelspark.session import stored
 
 HIGH = 500_000.0
 OUTLIER_FACTOR = 10.0
@@ -16,6 +17,7 @@ MAX_MISSING = 0.02
 def quality_audit(df: DataFrame, key: str, demand: str = "demand_mw", forecast: str = "eia_forecast_mw") -> DataFrame:
     """Counts of impossible values, outliers and missing values with an issue list and a verdict."""
     d, f = F.col(demand), F.col(forecast)
+    df = stored(df)
     median = exact_quantiles(df, [key], demand, {"median": 0.5})
 
     def hits(condition: Column, name: str) -> Column:

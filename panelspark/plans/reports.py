@@ -29,8 +29,9 @@ def fold_rmse(scores: DataFrame, keys: list[str], models: list[str], folds: tupl
 def versus_benchmark(scores: DataFrame, keys: list[str], benchmark: str) -> DataFrame:
     """Overall rows of the other models against the benchmark row of the same region."""
     overall = scores.where(F.col("fold") == OVERALL)
-    ref = overall.where(F.col("model") == benchmark).select(*keys, F.col("rmse").alias("benchmark_rmse"))
-    rows = overall.where(F.col("model") != benchmark).drop("fold").join(ref, keys)
+    ref = F.max(F.when(F.col("model") == benchmark, F.col("rmse"))).over(Window.partitionBy(*keys))
+    rows = overall.withColumn("benchmark_rmse", ref).drop("fold").where(
+        (F.col("model") != benchmark) & F.col("benchmark_rmse").isNotNull())
     pct = F.try_divide((F.col("rmse") - F.col("benchmark_rmse")) * 100, F.col("benchmark_rmse"))
     return rows.withColumns({
         "vs_benchmark_pct": F.round(pct, 2),

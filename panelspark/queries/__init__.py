@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "windows", "calendar", "weather")
+MODULES = ("cleaning", "windows", "calendar", "weather", "spatial", "forecast_error", "scoring")
 
 
 def registered() -> dict:

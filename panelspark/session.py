@@ -33,6 +33,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("panelspark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
@@ -63,7 +64,18 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._is_stored = True
+    return table
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a written table, else its written form.
+
+    Operators that read their input more than once call this first. Without it Spark would run the whole
+    plan behind ``df`` again for every use, down to the scan of the raw data.
+    """
+    return df if getattr(df, "_is_stored", False) else materialize(df)
 
 
 def small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
