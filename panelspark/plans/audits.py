@@ -100,9 +100,13 @@ def fetch_stats(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def correlations(df: DataFrame, keys: list[str], features: list[str], target: str) -> DataFrame:
     """|Pearson correlation| of every feature with the target in one aggregate; 0 if undefined."""
+    def corr(c: str) -> Column:
+        # F.corr fails in ANSI mode for a constant column.
+        x, y = F.when(F.col(target).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(target))
+        return F.try_divide(F.covar_pop(c, target), F.stddev_pop(x) * F.stddev_pop(y))
+
     pairs = [
-        F.struct(F.lit(c).alias("feature"),
-                 F.coalesce(nan_to_null(F.abs(F.corr(c, target))), F.lit(0.0)).alias("abs_corr"))
+        F.struct(F.lit(c).alias("feature"), F.coalesce(nan_to_null(F.abs(corr(c))), F.lit(0.0)).alias("abs_corr"))
         for c in features
     ]
     return df.groupBy(*keys).agg(F.array(*pairs).alias("_p")).select(*keys, F.inline("_p"))
