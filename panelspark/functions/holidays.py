@@ -148,7 +148,7 @@ def holiday_calendar(years: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-_DEFAULTS = {
+DEFAULTS = {
     "is_us_holiday": 0, "days_to_nearest_holiday": FAR, "days_to_nearest_major_holiday": FAR,
     "is_in_holiday_period": 0, "is_in_major_holiday_period": 0, "days_into_holiday_period": 0,
     "is_day_before_holiday": 0, "is_day_after_holiday": 0,
@@ -160,4 +160,4 @@ def add_holidays(df: DataFrame, ts: str, keys: tuple[str, ...] = ()) -> DataFram
     df = stored(df)
     calendar = holiday_calendar(years_of(df, ts, keys), keys).withColumnRenamed("date", "_date")
     out = df.withColumn("_date", F.to_date(ts)).join(calendar, [*keys, "_date"], "left").drop("_date")
-    return out.fillna(_DEFAULTS)
+    return out.fillna(DEFAULTS)

@@ -70,7 +70,8 @@ def _anomalies(threshold: float):
     return query
 
 
-def _anomaly_sql(threshold: float) -> str:
+def _anomaly_sql(threshold: float, digits: int | None = 6) -> str:
+    value = "value_filled" if digits is None else r("value_filled", digits)
     return f"""WITH {a.HOURLY_LONG_SQL},
 points AS (
   SELECT respondent, type, unnest(generate_series(min(period), max(period), INTERVAL 1 HOUR)) AS period
@@ -82,7 +83,7 @@ grid AS (
 stats AS (
   SELECT *, count(value_filled) OVER w AS n, avg(value_filled) OVER w AS m, stddev_samp(value_filled) OVER w AS s
   FROM filled WINDOW w AS (PARTITION BY respondent, type ORDER BY period ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING))
-SELECT respondent, type, period, {r('value_filled')} AS value_mwh,
+SELECT respondent, type, period, {value} AS value_mwh,
        CAST(CASE WHEN v IS NULL AND value_filled IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS is_imputed,
        CAST(CASE WHEN n >= 24 AND s > 0 AND abs(value_filled - m) / s > {threshold} THEN 1 ELSE 0 END AS INTEGER) AS is_anomaly
 FROM stats"""
