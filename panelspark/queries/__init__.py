@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "windows", "calendar", "weather", "spatial", "forecast_error", "scoring", "audits", "sources", "matrix")
+MODULES = ("cleaning", "windows", "calendar", "weather", "spatial", "forecast_error", "scoring", "audits", "sources", "matrix", "models", "streams")
 
 
 def registered() -> dict:
