@@ -48,6 +48,16 @@ def replace_keys(path: str, rows: DataFrame, partition_by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
+def append_log_rows(rows: DataFrame, path: str) -> None:
+    """Append one row per region and file: ``rows`` holds a subset of the log columns."""
+    kinds = dict(f.strip().split(" ") for f in LOG_SCHEMA.split(","))
+    cols = [
+        (F.col(n) if n in rows.columns else F.current_timestamp() if n == "run_at" else F.lit(None)).cast(k).alias(n)
+        for n, k in kinds.items()
+    ]
+    rows.select(*cols).write.mode("append").parquet(path)
+
+
 def append_log(spark: SparkSession, path: str, **entry) -> None:
     """Append one row to the ingest log."""
     names = [f.strip().split(" ")[0] for f in LOG_SCHEMA.split(",")]

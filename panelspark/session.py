@@ -21,13 +21,18 @@ SETTINGS = {
 BROADCAST_ROWS = 50_000
 
 
+#: Temporary folders of local sessions that name no shared folder.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g",
+                  settings: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and the local benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -37,6 +42,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
 
@@ -47,9 +54,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="panelspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="panelspark-")
+    return _LOCAL_ROOTS[app]
 
 
 def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelspark.functions.nulls import nan_to_null
-from panelspark.operators.upsert import append_log, merge_rows, upsert_table
+from panelspark.operators.upsert import append_log, append_log_rows, merge_rows, upsert_table
 from panelspark.session import stored
 from panelspark.sources import raw_csv
 
@@ -39,7 +39,7 @@ def load_batch(spark: SparkSession, batch: DataFrame, endpoint: str, table: str,
     source = raw_csv.CODE_COLUMN[endpoint]
     try:
         batch = stored(batch.withColumn("_row", F.monotonically_increasing_id()))
-        good, rejected = raw_csv.parse_raw(batch)
+        good, _ = raw_csv.parse_raw(batch)
         order = F.struct("_modified", *raw_csv.READ_ORDER).alias("_order")
         rows = raw_csv.table_columns(good.withColumn("endpoint", F.lit(endpoint)), endpoint)
         names = [c for c in rows.columns if c not in (*key, "value_mwh")]
@@ -50,11 +50,13 @@ def load_batch(spark: SparkSession, batch: DataFrame, endpoint: str, table: str,
         latest = latest.withColumn("month", F.date_format("period", "yyyy-MM"))
         upsert_table(spark, table, latest, [*key, "month"], ["month"], replaced, kept)
         if log:
-            append_log(spark, log, endpoint=endpoint, respondent=source, rows_raw=batch.count(),
-                       rows_ingested=good.count(), rows_imputed=0, rows_anomaly=0, status="success")
+            readable = F.try_to_timestamp("period", F.lit(raw_csv.PERIOD_FORMAT)).isNotNull()
+            counts = batch.groupBy(F.col(source).alias("respondent"), "source_file").agg(
+                F.count(F.lit(1)).alias("rows_raw"), F.count(F.when(readable, 1)).alias("rows_ingested"))
+            append_log_rows(counts.select("*", F.lit(endpoint).alias("endpoint"), F.lit("success").alias("status")), log)
     except Exception as e:
         if log:
-            append_log(spark, log, endpoint=endpoint, respondent=source, status="error", error_msg=str(e)[:500])
+            append_log(spark, log, endpoint=endpoint, status="error", error_msg=str(e)[:500])
         raise
 
 
