@@ -28,8 +28,15 @@ UNKNOWN_DAY_LENGTH, UNKNOWN_ELEVATION = 12.0, 45.0
 THERMAL_ROWS = 48
 
 
-def humidity(temp: Column, dew: Column) -> Column:
-    """Relative humidity in percent from temperature and dew point."""
+def humidity(temp: Column, dew: Column, corrected: bool = False) -> Column:
+    """Relative humidity in percent from temperature and dew point.
+
+    The original definition divides the pressures the wrong way round, so it is 100 wherever the dew point
+    is below the temperature. That is the default; ``corrected=True`` gives the physical value.
+    """
+    if corrected:
+        temp, dew = dew, temp
+
     def pressure(t: Column) -> Column:
         return t * MAGNUS_A / (t + MAGNUS_B)
 

@@ -117,6 +117,6 @@ def evaluate_model(df: DataFrame, keys: list[str], fit_predict: Callable[[DataFr
 
 
 def summary(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Overall rows ranked by RMSE; the name breaks ties."""
-    w = Window.partitionBy(*keys).orderBy("rmse", "model")
+    """Overall rows ranked by RMSE, missing ones last; the name breaks ties."""
+    w = Window.partitionBy(*keys).orderBy(F.col("rmse").asc_nulls_last(), "model")
     return scores.where(F.col("fold") == OVERALL).drop("fold").withColumn("rank", F.row_number().over(w))

@@ -41,15 +41,16 @@ def champion_choice(champion: DataFrame, challenger: DataFrame, keys: list[str],
     both = champion.select(*keys, F.col("rmse").alias("champion_rmse")).join(
         challenger.select(*keys, F.col("rmse").alias("challenger_rmse")), keys, "full")
     gain = F.try_divide(F.col("champion_rmse") - F.col("challenger_rmse"), F.col("champion_rmse"))
-    replace = F.col("champion_rmse").isNull() | F.coalesce(gain >= min_improvement, F.lit(False))
+    first = F.col("champion_rmse").isNull() & F.col("challenger_rmse").isNotNull()
+    replace = first | F.coalesce(gain >= min_improvement, F.lit(False))
     return both.withColumn("improvement", gain).withColumn("replace", replace.cast("int"))
 
 
 def priority_summary(scores: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """Best model per region in the order of priority; ``registry``: (key, priority, enabled)."""
-    overall = scores.where(F.col("fold") == OVERALL)
+    overall = scores.where((F.col("fold") == OVERALL) & F.col("rmse").isNotNull())
     best = overall.groupBy(key).agg(F.min_by(F.struct("model", "rmse"), F.struct("rmse", "model")).alias("_b"))
-    joined = registry.where("enabled").join(best, key).select(
+    joined = registry.where("enabled").join(best, key, "left").select(
         key, "priority", F.col("_b.model").alias("best_model"), F.col("_b.rmse").alias("best_rmse"))
     place = F.row_number().over(Window.orderBy("priority", key))  # one row per region
     return joined.withColumn("position", place)

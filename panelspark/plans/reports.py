@@ -16,7 +16,7 @@ def aggregate_summary(scores: DataFrame) -> DataFrame:
     return overall.groupBy("model").agg(
         F.round(F.avg("mae"), 2).alias("mae"), F.round(F.avg("rmse"), 2).alias("rmse"),
         F.round(F.avg("smape"), 3).alias("smape"),
-    ).orderBy("rmse", "model")
+    ).orderBy(F.col("rmse").asc_nulls_last(), "model")
 
 
 def fold_rmse(scores: DataFrame, keys: list[str], models: list[str], folds: tuple[str, ...]) -> DataFrame:
@@ -30,8 +30,7 @@ def versus_benchmark(scores: DataFrame, keys: list[str], benchmark: str) -> Data
     """Overall rows of the other models against the benchmark row of the same region."""
     overall = scores.where(F.col("fold") == OVERALL)
     ref = F.max(F.when(F.col("model") == benchmark, F.col("rmse"))).over(Window.partitionBy(*keys))
-    rows = overall.withColumn("benchmark_rmse", ref).drop("fold").where(
-        (F.col("model") != benchmark) & F.col("benchmark_rmse").isNotNull())
+    rows = overall.withColumn("benchmark_rmse", ref).drop("fold").where(F.col("model") != benchmark)
     pct = F.try_divide((F.col("rmse") - F.col("benchmark_rmse")) * 100, F.col("benchmark_rmse"))
     return rows.withColumns({
         "vs_benchmark_pct": F.round(pct, 2),
@@ -77,7 +76,7 @@ def score_pivot(versus: DataFrame, key: str, models: dict[str, str], ratio: floa
 
 def head_to_head(versus: DataFrame, key: str, code: str) -> DataFrame:
     """One region, best model first."""
-    return versus.where(F.col(key) == code).orderBy("rmse", "model")
+    return versus.where(F.col(key) == code).orderBy(F.col("rmse").asc_nulls_last(), "model")
 
 
 def top_importance(rows: DataFrame, top: int = 10) -> DataFrame:

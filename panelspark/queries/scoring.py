@@ -167,10 +167,10 @@ def priority_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 PRIORITY_SUMMARY = f"""WITH {NATION_SCORES_SQL}, {a.REGISTRY_SQL},
-best AS (SELECT respondent, model, rmse FROM scores WHERE fold = 'overall'
+best AS (SELECT respondent, model, rmse FROM scores WHERE fold = 'overall' AND rmse IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY respondent ORDER BY rmse, model) = 1)
-SELECT respondent, priority, model AS best_model, rmse AS best_rmse, CAST(row_number() OVER (ORDER BY priority, respondent) AS INTEGER) AS position
-FROM best JOIN registry ON code = respondent WHERE enabled"""
+SELECT code AS respondent, priority, model AS best_model, rmse AS best_rmse, CAST(row_number() OVER (ORDER BY priority, code) AS INTEGER) AS position
+FROM registry LEFT JOIN best ON code = respondent WHERE enabled"""
 
 
 def champion_choice(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ def champion_choice(spark: SparkSession, d: str) -> DataFrame:
 
 CHAMPION_CHOICE = f"""WITH {NATION_SCORES_SQL}
 SELECT c.respondent, c.rmse AS champion_rmse, h.rmse AS challenger_rmse, {r('(c.rmse - h.rmse) / c.rmse')} AS improvement,
-  CAST((c.rmse - h.rmse) / c.rmse >= 0.02e0 AS INTEGER) AS replace
+  CAST(coalesce((c.rmse - h.rmse) / c.rmse >= 0.02e0, c.rmse IS NULL AND h.rmse IS NOT NULL) AS INTEGER) AS replace
 FROM scores c JOIN scores h ON h.respondent = c.respondent AND h.fold = 'overall' AND h.model = '{scoring.SEASONAL_168H}'
 WHERE c.fold = 'overall' AND c.model = '{scoring.PERSISTENCE_24H}'"""
 

@@ -170,11 +170,11 @@ def log_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     v = _versus(spark, d)
 
     def whole(c: str):
-        return F.format_number(F.floor(c), 0)
+        return F.coalesce(F.format_number(F.floor(c), 0), F.lit("nan"))
 
     line = F.concat(
         F.lit("  Baselines:  EIA DF RMSE="), F.lpad(whole("benchmark_rmse"), 12, " "), F.lit("\n    "), F.col("model"), F.lit("  RMSE="),
-        F.lpad(whole("rmse"), 12, " "), F.lit("\n      vs EIA DF: "), F.col("vs_benchmark_pct").cast("string"), F.lit("%  "), F.col("verdict"), F.lit("\n"))
+        F.lpad(whole("rmse"), 12, " "), F.lit("\n      vs EIA DF: "), F.coalesce(F.col("vs_benchmark_pct").cast("string"), F.lit("nan")), F.lit("%  "), F.col("verdict"), F.lit("\n"))
     logs = v.groupBy("model").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("log"))
     return tidy(tables.log_leaderboard(logs, complete=25))
 

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Parquet files written by pandas may hold nanoseconds, which are read as numbers.
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
 
 #: Dimension tables up to this many rows may be broadcast.

@@ -41,8 +41,11 @@ def read_weather_cache(spark: SparkSession, path: str, columns: tuple[str, ...]
     measures = [
         (F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")).alias(c) for c in columns
     ]
-    time = "period" if "period" in df.columns else "time"
-    return df.select(F.col(time).cast("timestamp_ntz").alias("period"), code.alias("respondent"), *measures)
+    name = next(c for c in ("period", "time", "__index_level_0__") if c in df.columns)
+    time = F.col(name)
+    if dict(df.dtypes)[name] == "bigint":  # nanoseconds
+        time = F.timestamp_micros(F.floor(time / 1000))
+    return df.select(time.cast("timestamp_ntz").alias("period"), code.alias("respondent"), *measures)
 
 
 def add_late_columns(cache: DataFrame, late: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
