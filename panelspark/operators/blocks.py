@@ -31,6 +31,8 @@ class Over:
     build: Callable[[WindowSpec], Column]
     back: int = 0
     ahead: int = 0
+    #: Helper columns evaluated before, level by level, and dropped afterwards.
+    needs: tuple[Mapping[str, "Over | Column"], ...] = ()
 
 
 def _col(c: str | Column) -> Column:
@@ -45,6 +47,57 @@ def lead(c: str | Column, rows: int) -> Over:
     return Over(lambda w: F.lead(_col(c), rows).over(w), ahead=rows)
 
 
+#: From this width on, sums and their relatives come from running sums.
+RUNNING_FROM = 8
+
+
+def _running(c: str, centered: bool) -> tuple[Mapping[str, Over], ...]:
+    """Running sums of a column within a block.
+
+    Values are taken relative to the first one of the block, which keeps the sums small and makes the
+    deviation of a constant series exactly 0. NaN and infinite values count as missing; they would
+    spoil the sums of the whole block.
+    """
+    raw = F.col(c).cast("double")
+    v = F.when(~F.isnan(raw) & (F.abs(raw) < F.lit(float("inf"))), raw)
+    moved = v - F.col(f"_first_{c}")
+    parts = {"n": F.when(v.isNotNull(), 1.0), "s": moved, "q": moved * moved}
+
+    def upto(part: Column, end: int) -> Over:
+        return Over(lambda w: F.coalesce(F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, end)), F.lit(0.0)))
+
+    sums = {f"_{k}_{c}": upto(p, 0) for k, p in parts.items()}
+    if centered:
+        sums |= {f"_all_{k}_{c}": upto(p, Window.unboundedFollowing) for k, p in parts.items()}
+    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
+    return {f"_first_{c}": Over(lambda w: F.first(v, True).over(w.rowsBetween(*everything)))}, sums
+
+
+def _from_running(agg: Callable, c: str, start: int, end: int, min_periods: int) -> Over:
+    """Count, sum, mean or sample deviation of the rows start ... end as a difference of running sums."""
+    def upto(w: WindowSpec, k: str, row: int) -> Column:
+        name = f"_{k}_{c}"
+        if row < 0:
+            return F.lag(name, -row, 0.0).over(w)
+        return F.coalesce(F.lead(name, row).over(w), F.col(f"_all{name}")) if row else F.col(name)
+
+    def build(w: WindowSpec) -> Column:
+        n, s, q = (upto(w, k, end) - upto(w, k, start - 1) for k in ("n", "s", "q"))
+        first = F.col(f"_first_{c}")
+        if agg is F.count:
+            value = n.cast("long")
+        elif agg is F.sum:
+            value = n * first + s
+        elif agg is F.avg:
+            value = F.try_divide(n * first + s, n)
+        else:
+            spread = F.greatest(q - F.try_divide(s * s, n), F.lit(0.0))
+            value = F.sqrt(F.try_divide(spread, n - 1))
+        return F.when(n >= min_periods, value)
+
+    return Over(build, back=max(0, -start), ahead=max(0, end), needs=_running(c, end > 0))
+
+
 def rolling(
     agg: Callable[[Column], Column],
     c: str | Column,
@@ -56,13 +109,17 @@ def rolling(
     """Rolling aggregate over ``width`` rows ending ``offset`` rows before the current one.
 
     NULL unless at least ``min_periods`` values are present. A centred even window reaches one row
-    further back than ahead.
+    further back than ahead. Counts, sums, means and deviations of a named column cost the same per row
+    for every width; other aggregates look at each row of the frame.
     """
     if center:
         start, end = -(width // 2), (width - 1) // 2
     else:
         start, end = -(width - 1) - offset, -offset
 
+    if isinstance(c, str) and width >= RUNNING_FROM and agg in (F.count, F.sum, F.avg, F.stddev_samp):
+        return _from_running(agg, c, start, end, min_periods)
+
     def build(w: WindowSpec) -> Column:
         frame = w.rowsBetween(start, end)
         value = _col(c)
@@ -97,8 +154,20 @@ def block_window(panel: Panel) -> WindowSpec:
 def apply_stages(df: DataFrame, panel: Panel, stages: tuple[Mapping[str, Over | Column], ...]) -> DataFrame:
     """Evaluate stages one after the other on a frame that already carries blocks."""
     w = block_window(panel)
+
+    def add(frame: DataFrame, columns: Mapping[str, Over | Column]) -> DataFrame:
+        return frame.withColumns({n: e.build(w) if isinstance(e, Over) else e for n, e in columns.items()})
+
     for stage in stages:
-        df = df.withColumns({n: e.build(w) if isinstance(e, Over) else e for n, e in stage.items()})
+        helpers: list[dict] = []
+        for e in stage.values():
+            for level, columns in enumerate(e.needs if isinstance(e, Over) else ()):
+                if level == len(helpers):
+                    helpers.append({})
+                helpers[level].update(columns)
+        for level in helpers:
+            df = add(df, level)
+        df = add(df, stage).drop(*[n for level in helpers for n in level])
     return df
 
 

@@ -32,6 +32,8 @@ BOOSTED = {
                 "featureSubsetStrategy": "0.8"},
     "lightgbm": {"name": "LightGBM", "maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8,
                  "featureSubsetStrategy": "0.8"},
+    "lightgbm_gpu": {"name": "LightGBM-GPU", "maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8,
+                     "featureSubsetStrategy": "0.8"},
     "catboost": {"name": "CatBoost", "maxIter": 500, "stepSize": 0.05, "maxDepth": 6},
 }
 

@@ -9,6 +9,7 @@ from panelspark.functions import calendar, holidays, weather
 from panelspark.operators import cleaning
 from panelspark.queries import adapters as a
 from panelspark.queries.adapters import r, tidy
+from panelspark.session import small
 
 
 def calendar_basic(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +149,7 @@ def solar_geometry(spark: SparkSession, d: str) -> DataFrame:
     lat = F.when(F.col("n_nationkey") != 3, F.col("lat")).alias("lat")
     places = a.registry(spark, d).select(F.col("code").alias("respondent"), lat)
     days = a.daily_nation(spark, d).select("respondent", "period")
-    out = days.join(F.broadcast(places), "respondent")  # one row per nation, 25 at every scale
+    out = days.join(small(places), "respondent")
     return tidy(out.withColumns(weather.sun_geometry(F.col("lat"), F.col("period"))).drop("lat"))
 
 

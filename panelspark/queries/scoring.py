@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.operators import scoring, splits
+from panelspark.operators import cleaning, scoring, splits
+from panelspark.operators.blocks import lag, over_blocks
 from panelspark.plans import monitoring, reports
 from panelspark.queries import adapters as a
 from panelspark.queries.adapters import r, tidy
@@ -23,6 +24,25 @@ def fold_labels(spark: SparkSession, d: str) -> DataFrame:
 FOLD_LABELS = f"""WITH {a.DAILY_SQL} SELECT respondent, period, CAST(greatest(-1, least(5, year(period) - {a.BASE_YEAR})) AS INTEGER) AS fold FROM daily"""
 
 
+def baseline_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """All four naive forecasts per day (here a lag of one row stands for one hour)."""
+    grid = cleaning.regular_grid(a.daily_region(spark, d), a.DAILY)
+    rows = over_blocks(grid, a.DAILY, {
+        "lag_1h": lag("demand_mw", 1), "lag_24h": lag("demand_mw", 24), "lag_168h": lag("demand_mw", 168)})
+    rows = rows.withColumn("eia_forecast_mw", F.when(F.dayofmonth("period") != 15, F.col("eia_forecast_mw")))
+    preds = {n: scoring.baseline(rows, n) for n in scoring.BASELINES}
+    return tidy(scoring.stack_predictions(rows, ["respondent", "period", "demand_mw"], preds))
+
+
+BASELINE_PREDICTIONS = f"""WITH {a.DAILY_SQL},
+lagged AS (
+  SELECT respondent, period, demand_mw, CASE WHEN day(period) <> 15 THEN eia_forecast_mw END AS f, lag(demand_mw, 1) OVER w AS l1,
+    lag(demand_mw, 24) OVER w AS l24, lag(demand_mw, 168) OVER w AS l168 FROM daily_grid WINDOW w AS (PARTITION BY respondent ORDER BY period))
+SELECT respondent, period, {r('demand_mw')} AS demand_mw, model, {r('p')} AS prediction FROM (
+  SELECT *, '{scoring.PERSISTENCE_1H}' AS model, l1 AS p FROM lagged UNION ALL SELECT *, '{scoring.PERSISTENCE_24H}', l24 FROM lagged
+  UNION ALL SELECT *, '{scoring.SEASONAL_168H}', l168 FROM lagged UNION ALL SELECT *, '{scoring.OFFICIAL}', coalesce(f, l168) FROM lagged)"""
+
+
 def _scores(spark: SparkSession, d: str, level: str = "r_name", keys: tuple[str, ...] = ("respondent",)) -> DataFrame:
     rows = a.daily_scored(spark, d, level)
     return scoring.compare(rows, list(keys), {m: scoring.baseline(rows, m) for m in MODELS})
@@ -255,6 +275,7 @@ MIN_LENGTH = f"WITH {a.HOURLY_WIDE_SQL} SELECT respondent, count(*) AS n_rows FR
 
 QUERIES = {
     "fold_labels": (fold_labels, FOLD_LABELS),
+    "baseline_predictions": (baseline_predictions, BASELINE_PREDICTIONS),
     "walk_forward_scores": (walk_forward_scores, WALK_FORWARD),
     "evaluate_own_model": (evaluate_own_model, EVALUATE_OWN),
     "model_summary": (model_summary, MODEL_SUMMARY),

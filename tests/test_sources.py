@@ -109,6 +109,8 @@ def test_registry(spark, tmp_path):
     assert {(r.code, r.is_known) for r in registry.resolve(wanted, reg).collect()} == {("PJM", 1), ("NEW", 0)}
     coordinates = spark.createDataFrame([("pjm",), ("OFF",)], "code string")
     assert {r.code for r in registry.without_coordinates(reg.select("code"), coordinates).collect()} == {"AEC", "CISO"}
+    found = {r.code: r.lat for r in registry.coordinates_of(wanted, registry.coordinate_table(spark)).collect()}
+    assert found == {"pjm": 40.2, "new": None} and registry.coordinate_table(spark).count() == len(registry.COORDINATES)
     plan = {r.endpoint: r for r in registry.fetch_plan(registry.select_regions(reg)).collect()}
     assert plan["region-data"].est_rows == 3 * 254_760 and plan["region-data"].est_pages == pytest.approx(152.856)
     assert registry.group_table(spark).where("region = 'texas'").count() == 2
