@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.nulls import clip
 from panelspark.operators.blocks import over_blocks, rolling
 from panelspark.operators.scoring import OVERALL
 from panelspark.panel import Panel
@@ -23,7 +24,7 @@ def drift(df: DataFrame, panel: Panel, train_rmse: DataFrame, target: str = "dem
     """
     sq = F.pow(F.col(target) - F.col(prediction), F.lit(2.0))
     rolled = over_blocks(df.withColumn("_sq", sq), panel, {"_ms": rolling(F.avg, "_sq", steps)})
-    rolled = rolled.withColumn("rolling_rmse", F.sqrt(F.greatest("_ms", F.lit(0.0)))).drop("_sq", "_ms")
+    rolled = rolled.withColumn("rolling_rmse", F.sqrt(clip(F.col("_ms"), 0.0))).drop("_sq", "_ms")
     ratio = F.try_divide(F.col("rolling_rmse") - F.col("train_rmse"), F.col("train_rmse"))
     joined = rolled.join(train_rmse, list(panel.keys), "left").withColumn("drift", ratio)
     return joined.withColumn("alert", F.coalesce(F.col("drift") > limit, F.lit(False)).cast("int"))
