@@ -84,12 +84,6 @@ def holiday_dates(years: DataFrame, keys: tuple[str, ...] = (), year: str = "yea
     return rows.groupBy(*keys, F.col("date").alias("holiday_date")).agg(names.alias("holiday_name"))
 
 
-def years_of(df: DataFrame, ts: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Every year from the first to the last timestamp, per key."""
-    span = df.groupBy(*keys).agg(F.min(F.year(ts)).alias("_a"), F.max(F.year(ts)).alias("_b"))
-    return span.where("_a IS NOT NULL").select(*keys, F.explode(F.sequence("_a", "_b")).alias("year"))
-
-
 def _has(name: Column, *parts: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(name, F.lit(p)) for p in parts])
 
@@ -155,9 +149,21 @@ DEFAULTS = {
 }
 
 
-def add_holidays(df: DataFrame, ts: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Join the holiday calendar of the years present in the data (per key) on the UTC date."""
-    df = stored(df)
-    calendar = holiday_calendar(years_of(df, ts, keys), keys).withColumnRenamed("date", "_date")
-    out = df.withColumn("_date", F.to_date(ts)).join(calendar, [*keys, "_date"], "left").drop("_date")
-    return out.fillna(DEFAULTS)
+def add_holidays(df: DataFrame, ts: str, keys: tuple[str, ...] = (), source: DataFrame | None = None) -> DataFrame:
+    """Join the holiday calendar on the UTC date.
+
+    Only holidays of the years present in a series (per key) count. Series with the same first and last
+    year share one calendar, so the calendar does not grow with the number of series. The years are
+    read from ``source`` if given: a written table with the keys and times of ``df``.
+    """
+    if source is None:
+        source = df = stored(df)
+    span = source.groupBy(*keys).agg(F.min(F.year(ts)).alias("_a"), F.max(F.year(ts)).alias("_b"))
+    years = span.where("_a IS NOT NULL").select("_a", "_b").distinct().withColumn("year", F.explode(F.sequence("_a", "_b")))
+    calendar = holiday_calendar(years, ("_a", "_b")).withColumnRenamed("date", "_date")
+    out = df.withColumn("_date", F.to_date(ts))
+    if keys:
+        out = out.join(span, list(keys), "left").join(calendar, ["_a", "_b", "_date"], "left")
+    else:
+        out = out.join(calendar, "_date", "left")
+    return out.drop("_a", "_b", "_date").fillna(DEFAULTS)

@@ -104,18 +104,16 @@ def temp_weighted(temp: str = "temp_2m", rows: int = THERMAL_ROWS, need: int = 2
     the window makes the result missing.
     """
     weights = thermal_weights(rows)
+    present = rolling(F.count, temp, rows)
 
     def build(w) -> Column:
-        frame = w.rowsBetween(-(rows - 1), 0)
-        # Collected structs keep missing values, so positions in the array stay aligned.
-        window = F.collect_list(F.struct(F.col(temp).alias("v"))).over(frame)
-        table = F.array(*[F.lit(x) for x in weights])
-        newest = F.slice(table, F.lit(rows + 1) - F.size(window), F.size(window))
-        products = F.zip_with(window, newest, lambda x, k: x["v"] * k)
-        total = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-        return F.when(F.count(F.col(temp)).over(frame) >= need, total)
-
-    return {"temp_weighted_48h": Over(build, back=rows - 1)}
+        total = F.lit(0.0)
+        for back, weight in enumerate(reversed(weights)):
+            # The default stands in only where the series has no row; a missing value stays missing.
+            total = total + F.lag(temp, back, 0.0).over(w) * weight
+        return F.when(present.build(w) >= need, total)
+
+    return {"temp_weighted_48h": Over(build, back=rows - 1, needs=present.needs)}
 
 
 def interactions(temp: Column, rh: Column, hour: Column, month: Column, weekend: Column,

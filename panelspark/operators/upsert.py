@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from panelspark.session import materialize
 
+#: Up to this many changed partitions are listed in a scan filter.
+MAX_LISTED = 1_000
+
 LOG_SCHEMA = (
     "run_at timestamp, endpoint string, respondent string, source_file string, rows_raw long, "
     "rows_ingested long, rows_imputed long, rows_anomaly long, status string, error_msg string"
@@ -26,6 +29,16 @@ def merge_rows(rows: DataFrame, key: list[str], order: str, replace: list[str],
     )
 
 
+def _touched(base: DataFrame, batch: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Rows of the partitions that ``batch`` changes. Few partitions become a filter on the scan."""
+    changed = batch.select(*partition_by).distinct()
+    if len(partition_by) == 1:
+        values = [r[0] for r in changed.limit(MAX_LISTED + 1).collect()]
+        if len(values) <= MAX_LISTED:
+            return base.where(F.col(partition_by[0]).isin(*values))
+    return base.join(changed, partition_by, "left_semi")
+
+
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: list[str], partition_by: list[str],
                  replace: list[str], keep: list[str] = (), order: str = "batch_no") -> None:
     """Merge ``batch`` into the table at ``path``; only partitions present in the batch are rewritten."""
@@ -35,8 +48,7 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: list[str
     rows = batch
     if exists:
         base = spark.read.parquet(path)
-        touched = batch.select(*partition_by).distinct()
-        base = base.join(touched, partition_by, "left_semi").withColumn(order, F.lit(0))
+        base = _touched(base, batch, partition_by).withColumn(order, F.lit(0))
         rows = base.unionByName(batch.select(*base.columns))
     merged = merge_rows(rows, key, order, list(replace), list(keep))
     merged = materialize(merged) if exists else merged

@@ -189,9 +189,7 @@ def feature_matrix(tables: Tables, panel: Panel = Panel(), base_year: int = spli
         df = _nulls(df, ["lat"])
     else:
         df = df.join(small(tables.coordinates.select(KEY, "lat")), KEY, "left")
-    years = holidays.years_of(base, TS, (KEY,))
-    holiday = holidays.holiday_calendar(years, (KEY,)).withColumnRenamed("date", "_date")
-    df = df.withColumn("_date", F.to_date(TS)).join(holiday, [KEY, "_date"], "left").fillna(holidays.DEFAULTS)
+    df = holidays.add_holidays(df, TS, (KEY,), source=base)
     df = _stress(_weather_columns(_calendar(df)))
     df = df.withColumn("fold", splits.fold_label(F.col(TS), base_year))
     # On a gap-free grid the position of a row follows from its time.
