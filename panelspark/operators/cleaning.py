@@ -38,7 +38,8 @@ def grid_points(df: DataFrame, panel: Panel) -> DataFrame:
     not generated by one task.
     """
     spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Tiny partitions are not merged here (they grow a thousandfold below), so idle tasks are avoided.
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     size = F.lit(panel.block)
     extent = df.groupBy(*panel.keys).agg(
         F.min(panel.slot()).alias("_lo"), F.max(panel.slot()).alias("_hi")
