@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,6 +51,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return configure(builder.getOrCreate())
 
 
+#: Applications whose workers have the package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, which may be started without it; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="panelspark-")
+        packed = shutil.make_archive(os.path.join(folder, "panelspark"), "zip", os.path.dirname(here), os.path.basename(here))
+        spark.sparkContext.addPyFile(packed)
+        _SHIPPED.add(app)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only for local sessions that name none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
