@@ -7,11 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Days on which US clocks change.
-DST_DATES = (
-    "2019-03-10", "2019-11-03", "2020-03-08", "2020-11-01", "2021-03-14", "2021-11-07", "2022-03-13",
-    "2022-11-06", "2023-03-12", "2023-11-05", "2024-03-10", "2024-11-03", "2025-03-09", "2025-11-02",
-)
 # The flagged period, inclusive; the end is midnight at the start of that day.
 COVID_PERIOD = ("2020-03-01 00:00:00", "2020-12-31 00:00:00")
 
@@ -69,7 +64,14 @@ def in_period(ts: Column, start: str = COVID_PERIOD[0], end: str = COVID_PERIOD[
     return ts.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")).cast("int")
 
 
-def on_dates(ts: Column, dates: tuple[str, ...] = DST_DATES) -> Column:
+def clock_change(ts: Column) -> Column:
+    """1 on the days on which US clocks change: the second Sunday of March and the first of November, since 2007."""
+    month, day = F.month(ts), F.day(ts)
+    sunday = (F.weekday(ts) == 6) & (F.year(ts) >= 2007)
+    return (sunday & (((month == 3) & day.between(8, 14)) | ((month == 11) & (day <= 7)))).cast("int")
+
+
+def on_dates(ts: Column, dates: tuple[str, ...]) -> Column:
     """1 on any of the given days. The whole day counts."""
     return F.to_date(ts).isin(*[F.lit(d).cast("date") for d in dates]).cast("int")
 

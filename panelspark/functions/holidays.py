@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.session import stored
+from panelspark.session import materialize, small, stored
 
 # Distance when no other period is near, and how far a period is spread.
 FAR = 365
@@ -163,7 +163,7 @@ def add_holidays(df: DataFrame, ts: str, keys: tuple[str, ...] = (), source: Dat
     calendar = holiday_calendar(years, ("_a", "_b")).withColumnRenamed("date", "_date")
     out = df.withColumn("_date", F.to_date(ts))
     if keys:
-        out = out.join(span, list(keys), "left").join(calendar, ["_a", "_b", "_date"], "left")
+        out = out.join(small(materialize(span)), list(keys), "left").join(small(materialize(calendar)), ["_a", "_b", "_date"], "left")
     else:
-        out = out.join(calendar, "_date", "left")
+        out = out.join(small(materialize(calendar)), "_date", "left")
     return out.drop("_a", "_b", "_date").fillna(DEFAULTS)

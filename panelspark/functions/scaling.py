@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import clip
 from panelspark.operators.quantiles import exact_quantiles, unpivot
-from panelspark.session import stored
+from panelspark.session import materialize, small, stored
 
 CLIP = 5.0
 
@@ -25,7 +25,7 @@ def impute_median(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Missing values replaced by the exact median of their series."""
     df = stored(df)
     q = column_quantiles(df, keys, cols, {"_q50": 0.5})
-    out = df.join(q, keys, "left")
+    out = df.join(small(materialize(q)), keys, "left")
     return out.withColumns({c: F.coalesce(c, f"_q50_{c}") for c in cols}).select(*df.columns)
 
 
@@ -33,7 +33,7 @@ def robust_scale(df: DataFrame, keys: list[str], cols: list[str], limit: float |
     """(x - median) / interquartile range, limited to +-``limit``; a range of 0 counts as 1."""
     df = stored(df)
     q = column_quantiles(df, keys, cols, {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75})
-    out = df.join(q, keys, "left")
+    out = df.join(small(materialize(q)), keys, "left")
 
     def scaled(c: str):
         spread = F.coalesce(F.nullif(F.col(f"_q75_{c}") - F.col(f"_q25_{c}"), F.lit(0.0)), F.lit(1.0))
@@ -50,7 +50,7 @@ def standardise(df: DataFrame, keys: list[str], cols: list[str], keep_stats: boo
         *[F.avg(c).alias(f"mean_{c}") for c in cols],
         *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"std_{c}") for c in cols],
     )
-    out = df.join(stats, keys, "left").withColumns({
+    out = df.join(small(materialize(stats)), keys, "left").withColumns({
         c: (F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}") for c in cols})
     return out if keep_stats else out.select(*df.columns)
 

@@ -11,8 +11,11 @@ All frames count rows, so the input must be a gap-free grid (``cleaning.regular_
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -47,55 +50,102 @@ def lead(c: str | Column, rows: int) -> Over:
     return Over(lambda w: F.lead(_col(c), rows).over(w), ahead=rows)
 
 
-#: From this width on, sums and their relatives come from running sums.
-RUNNING_FROM = 8
+def _finite(c: str | Column) -> Column:
+    """The value as a double; NaN and infinite values count as missing."""
+    value = _col(c).cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
 
-def _running(c: str, centered: bool) -> tuple[Mapping[str, Over], ...]:
-    """Running sums of a column within a block.
+#: What is carried for an aggregate: number, sum, mean and squared deviations from the mean.
+_CARRIED = {F.count: "n", F.sum: "ns", F.avg: "ns", F.stddev_samp: "nmq"}
 
-    Values are taken relative to the first one of the block, which keeps the sums small and makes the
-    deviation of a constant series exactly 0. NaN and infinite values count as missing; they would
-    spoil the sums of the whole block.
+
+def _or_zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
+def _doubled(c: str | Column, name: str, kinds: str, width: int, ahead: bool) -> list[dict[str, Over | Column]]:
+    """Partial aggregates of the last (or, ``ahead``, the next) 1, 2, 4, ... rows with the current one, each made from two of half the length.
+
+    Nothing is ever subtracted, so a value touches only the frames that hold it: a spike elsewhere in the
+    block costs no digit, and the deviation of a constant stretch is exactly 0.
     """
-    raw = F.col(c).cast("double")
-    v = F.when(~F.isnan(raw) & (F.abs(raw) < F.lit(float("inf"))), raw)
-    moved = v - F.col(f"_first_{c}")
-    parts = {"n": F.when(v.isNotNull(), 1.0), "s": moved, "q": moved * moved}
+    value = _finite(c)
+    first = {"n": F.when(value.isNotNull(), 1.0).otherwise(0.0), "s": _or_zero(value), "m": value, "q": F.lit(0.0)}
+    levels: list[dict[str, Over | Column]] = [{_part(k, 1, name, ahead): first[k] for k in kinds}]
+    size = 1
+    while 2 * size <= width:
+        levels.append({_part(k, 2 * size, name, ahead): Over(lambda w, k=k, size=size: _joined(w, k, size, name, ahead)) for k in kinds})
+        size *= 2
+    return levels
+
+
+def _part(kind: str, size: int, name: str, ahead: bool) -> str:
+    return f"_{kind}{'f' if ahead and size > 1 else ''}{size}_{name}"
+
 
-    def upto(part: Column, end: int) -> Over:
-        return Over(lambda w: F.coalesce(F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, end)), F.lit(0.0)))
+def _shifted(c: str, rows: int, w: WindowSpec) -> Column:
+    return F.lag(c, -rows).over(w) if rows < 0 else F.lead(c, rows).over(w) if rows else F.col(c)
 
-    sums = {f"_{k}_{c}": upto(p, 0) for k, p in parts.items()}
-    if centered:
-        sums |= {f"_all_{k}_{c}": upto(p, Window.unboundedFollowing) for k, p in parts.items()}
-    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
-    return {f"_first_{c}": Over(lambda w: F.first(v, True).over(w.rowsBetween(*everything)))}, sums
 
+def _joined(w: WindowSpec, kind: str, size: int, name: str, ahead: bool) -> Column:
+    def here(k: str) -> Column:
+        return F.col(_part(k, size, name, ahead))
 
-def _from_running(agg: Callable, c: str, start: int, end: int, min_periods: int) -> Over:
-    """Count, sum, mean or sample deviation of the rows start ... end as a difference of running sums."""
-    def upto(w: WindowSpec, k: str, row: int) -> Column:
-        name = f"_{k}_{c}"
-        if row < 0:
-            return F.lag(name, -row, 0.0).over(w)
-        return F.coalesce(F.lead(name, row).over(w), F.col(f"_all{name}")) if row else F.col(name)
+    def beside(k: str) -> Column:
+        return _shifted(_part(k, size, name, ahead), size if ahead else -size, w)
+
+    if kind in "ns":
+        return here(kind) + _or_zero(beside(kind))
+    n, m = _or_zero(beside("n")), beside("m")
+    apart = m - here("m")
+    if kind == "m":
+        return F.coalesce(here("m") + apart * n / (here("n") + n), here("m"), m)
+    return here("q") + _or_zero(beside("q")) + _or_zero(apart * apart * here("n") * n / (here("n") + n))
+
+
+def _pieces(width: int) -> list[tuple[int, int]]:
+    """(rows before it, size) of the powers of two that make up a width."""
+    out, done = [], 0
+    for bit in range(width.bit_length()):
+        if width >> bit & 1:
+            out.append((done, 1 << bit))
+            done += 1 << bit
+    return out
+
+
+def _from_parts(agg: Callable, c: str | Column, start: int, end: int, min_periods: int) -> Over:
+    """Count, sum, mean or sample deviation of the rows start ... end from partial aggregates.
+
+    Rows up to the current one come from aggregates that look back and later rows from ones that look ahead, so that a frame may
+    reach over either end of the series.
+    """
+    name = c if isinstance(c, str) else f"{zlib.crc32(str(c).encode()):08x}"
+    kinds, last, next_one = _CARRIED[agg], min(end, 0), max(start, 1)
+    sides = [(False, last - start + 1, last), (True, end - next_one + 1, next_one)]
+    sides = [side for side in sides if side[1] > 0]
+    needs: list[dict] = []
+    for ahead, width, _ in sides:
+        for level, columns in enumerate(_doubled(c, name, kinds, width, ahead)):
+            needs[level:level + 1] = [(needs[level] if level < len(needs) else {}) | columns]
 
     def build(w: WindowSpec) -> Column:
-        n, s, q = (upto(w, k, end) - upto(w, k, start - 1) for k in ("n", "s", "q"))
-        first = F.col(f"_first_{c}")
+        parts = [{k: _shifted(_part(k, size, name, ahead), first + done if ahead else first - done, w) for k in kinds}
+                 for ahead, width, first in sides for done, size in _pieces(width)]
+        n = reduce(add, [_or_zero(p["n"]) for p in parts])
         if agg is F.count:
             value = n.cast("long")
-        elif agg is F.sum:
-            value = n * first + s
-        elif agg is F.avg:
-            value = F.try_divide(n * first + s, n)
+        elif "s" in kinds:
+            total = reduce(add, [_or_zero(p["s"]) for p in parts])
+            value = F.when(n > 0, total if agg is F.sum else F.try_divide(total, n))
         else:
-            spread = F.greatest(q - F.try_divide(s * s, n), F.lit(0.0))
+            near = F.coalesce(*[p["m"] for p in parts])
+            mean = near + F.try_divide(reduce(add, [_or_zero(p["n"] * (p["m"] - near)) for p in parts]), n)
+            spread = reduce(add, [_or_zero(p["q"]) + _or_zero(p["n"] * (p["m"] - mean) * (p["m"] - mean)) for p in parts])
             value = F.sqrt(F.try_divide(spread, n - 1))
         return F.when(n >= min_periods, value)
 
-    return Over(build, back=max(0, -start), ahead=max(0, end), needs=_running(c, end > 0))
+    return Over(build, back=max(0, -start), ahead=max(0, end), needs=tuple(needs))
 
 
 def rolling(
@@ -109,16 +159,16 @@ def rolling(
     """Rolling aggregate over ``width`` rows ending ``offset`` rows before the current one.
 
     NULL unless at least ``min_periods`` values are present. A centred even window reaches one row
-    further back than ahead. Counts, sums, means and deviations of a named column cost the same per row
-    for every width; other aggregates look at each row of the frame.
+    further back than ahead. Counts, sums, means and deviations take a number of steps per row that grows with the logarithm
+    of the width, and count NaN and infinite values as missing; other aggregates look at each row of the frame.
     """
     if center:
         start, end = -(width // 2), (width - 1) // 2
     else:
         start, end = -(width - 1) - offset, -offset
 
-    if isinstance(c, str) and width >= RUNNING_FROM and agg in (F.count, F.sum, F.avg, F.stddev_samp):
-        return _from_running(agg, c, start, end, min_periods)
+    if agg in _CARRIED:
+        return _from_parts(agg, c, start, end, min_periods)
 
     def build(w: WindowSpec) -> Column:
         frame = w.rowsBetween(start, end)
@@ -155,7 +205,7 @@ def apply_stages(df: DataFrame, panel: Panel, stages: tuple[Mapping[str, Over |
     """Evaluate stages one after the other on a frame that already carries blocks."""
     w = block_window(panel)
 
-    def add(frame: DataFrame, columns: Mapping[str, Over | Column]) -> DataFrame:
+    def extend(frame: DataFrame, columns: Mapping[str, Over | Column]) -> DataFrame:
         return frame.withColumns({n: e.build(w) if isinstance(e, Over) else e for n, e in columns.items()})
 
     for stage in stages:
@@ -166,8 +216,8 @@ def apply_stages(df: DataFrame, panel: Panel, stages: tuple[Mapping[str, Over |
                     helpers.append({})
                 helpers[level].update(columns)
         for level in helpers:
-            df = add(df, level)
-        df = add(df, stage).drop(*[n for level in helpers for n in level])
+            df = extend(df, level)
+        df = extend(df, stage).drop(*[n for level in helpers for n in level])
     return df
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import flag, nan_to_null
 from panelspark.operators.blocks import Over, over_blocks, rolling
-from panelspark.operators.quantiles import exact_quantiles
+from panelspark.operators.quantiles import exact_quantiles, unpivot
 from panelspark.panel import Panel
-from panelspark.session import stored
+from panelspark.session import materialize, small, stored
 
 MAX_GAP = 6
 ANOMALY_WINDOW = 168
@@ -37,9 +37,8 @@ def grid_points(df: DataFrame, panel: Panel) -> DataFrame:
     Series are first cut into blocks and the blocks are spread over the cluster, so a long series is
     not generated by one task.
     """
-    spark = df.sparkSession
-    # Tiny partitions are not merged here (they grow a thousandfold below), so idle tasks are avoided.
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # A number is given so that tiny partitions, which grow a thousandfold below, are not merged.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.lit(panel.block)
     extent = df.groupBy(*panel.keys).agg(
         F.min(panel.slot()).alias("_lo"), F.max(panel.slot()).alias("_hi")
@@ -173,12 +172,11 @@ def absolute_bounds(df: DataFrame, *cols: str, high: float = MAX_DEMAND) -> Data
 def statistical_cap(df: DataFrame, panel: Panel, *cols: str, factor: float = CAP_FACTOR,
                     floor: float = CAP_FLOOR, min_rows: int = CAP_MIN_ROWS) -> DataFrame:
     """Values above ``max(factor * p95, floor)`` of their series become NULL if it has enough values."""
-    out = df = stored(df)
-    for c in cols:
-        q = exact_quantiles(df, list(panel.keys), c, {"_p95": 0.95}, count="_valid")
-        cap = F.when(F.col("_valid") > min_rows, F.greatest(F.col("_p95") * factor, F.lit(float(floor))))
-        limits = q.select(*panel.keys, cap.alias("_cap"))
-        out = out.join(limits, list(panel.keys), "left").withColumn(
-            c, F.when(F.col("_cap").isNull() | (F.col(c) <= F.col("_cap")), F.col(c))
-        ).drop("_cap")
-    return out.select(*df.columns)
+    df = stored(df)
+    long = unpivot(df.select(*panel.keys, *cols), list(panel.keys), list(cols))
+    long._is_stored = True  # a projection of a written table
+    q = exact_quantiles(long, [*panel.keys, "feature"], "value", {"_p95": 0.95}, count="_valid")
+    cap = F.when(F.col("_valid") > min_rows, F.greatest(F.col("_p95") * factor, F.lit(float(floor))))
+    limits = q.groupBy(*panel.keys).agg(*[F.max(F.when(F.col("feature") == c, cap)).alias(f"_cap_{c}") for c in cols])
+    out = df.join(small(materialize(limits)), list(panel.keys), "left")
+    return out.withColumns({c: F.when(F.col(f"_cap_{c}").isNull() | (F.col(c) <= F.col(f"_cap_{c}")), F.col(c)) for c in cols}).select(*df.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.session import stored
+from panelspark.session import materialize, small, stored
 
 #: Relative rank error of the sketch is 1 / ACCURACY.
 ACCURACY = 10_000
@@ -21,27 +21,39 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """One row per group with one column per entry of ``probs`` and, if named, the value count."""
     names = list(probs)
     data = stored(df).where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 2.0 / accuracy
-    edges = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    # Edges of ever wider brackets. A group takes the first that leaves room for the error of the sketch and four positions.
+    widths = [4.0 / accuracy]
+    while widths[-1] < 1.0:
+        widths.append(min(1.0, widths[-1] * 4))
+    edges = [e for p in probs.values() for s in widths for e in (max(0.0, p - s), min(1.0, p + s))]
     sketch = data.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_e"),
     )
-    # Small groups are taken whole: there the rank error of the sketch can be less than one position.
-    whole = F.col("_n") <= 10 * accuracy
+    room = F.lit(2.0 / accuracy) + F.lit(4.0) / F.col("_n")
+
+    def edge(i: int, side: int, outermost: str):
+        """Edge of the chosen bracket of a quantile; at either end of the scale the extreme value itself."""
+        p, out = list(probs.values())[i], None
+        for j, width in enumerate(widths):
+            beyond = p - width <= 0 if side == 0 else p + width >= 1
+            value = F.col(outermost) if beyond else F.col("_e")[2 * (i * len(widths) + j) + side]
+            out = F.when(room <= width, value) if out is None else out.when(room <= width, value)
+        return out.otherwise(F.col(outermost))
+
     brackets = sketch.select(
         *keys, "_n",
         F.array(*[
             F.struct(
                 F.lit(i).alias("i"),
-                F.when(whole, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("lo"),
-                F.when(whole, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
+                edge(i, 0, "_min").alias("lo"),
+                edge(i, 1, "_max").alias("hi"),
             )
             for i in range(len(names))
         ]).alias("_b"),
     )
     # Without keys there is one bracket row, so that side is safe to broadcast.
-    joined = data.join(brackets, keys) if keys else data.join(F.broadcast(brackets), F.lit(True))
+    joined = data.join(small(materialize(brackets)), keys) if keys else data.join(F.broadcast(brackets), F.lit(True))
     wanted = F.filter("_b", lambda b: F.col("_v") <= b["hi"])
     tagged = joined.select(*keys, "_n", "_v", F.explode(wanted).alias("_q")).select(
         *keys, "_n", F.col("_q.i").alias("_i"),

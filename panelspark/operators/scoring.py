@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import finite
-from panelspark.session import stored
+from panelspark.session import small, stored
 
 VALIDATION_FOLDS = (0, 1, 2, 3, 4)
 OVERALL = "overall"
@@ -75,18 +75,20 @@ def stack_predictions(df: DataFrame, keep: list[str], models: dict[str, Column])
 
 
 def walk_forward(long: DataFrame, keys: list[str], target: str = "demand_mw", fold: str = "fold",
-                 model: str = "model", prediction: str = "prediction") -> DataFrame:
+                 model: str = "model", prediction: str = "prediction", rows: DataFrame | None = None) -> DataFrame:
     """One row per (keys, model, validation fold) and a pooled ``overall`` row.
 
-    A fold counts only if the series has earlier rows to train on. Fold 5 is never used. Rows are summed
+    A fold counts only if the series has earlier rows to train on: rows of ``rows``, the input of the model, if it is given
+    (a model may return no prediction where it could not be trained), else of ``long``. Fold 5 is never used. Rows are summed
     per fold first; everything after that works on at most seven rows per series and model.
     """
     group = [*keys, model]
     sums = long.groupBy(*group, fold).agg(*_sums(F.col(target), F.col(prediction)))
-    first = F.min(fold).over(Window.partitionBy(*group))
-    used = sums.withColumn("_first", first).where(
-        F.col(fold).isin(*VALIDATION_FOLDS) & (F.col("_first") < F.col(fold))
-    )
+    if rows is None:
+        started = sums.withColumn("_first", F.min(fold).over(Window.partitionBy(*group)))
+    else:
+        started = sums.join(small(rows.groupBy(*keys).agg(F.min(fold).alias("_first"))), keys)
+    used = started.where(F.col(fold).isin(*VALIDATION_FOLDS) & (F.col("_first") < F.col(fold)))
     labels = F.explode(F.array(F.col(fold).cast("string"), F.lit(OVERALL)))
     pooled = used.withColumn("_label", labels).groupBy(*group, F.col("_label").alias("fold")).agg(
         *[F.sum(c).alias(c) for c in _SUMS]
@@ -112,8 +114,7 @@ def evaluate_model(df: DataFrame, keys: list[str], fit_predict: Callable[[DataFr
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    train_only = df.where(F.col(fold) == -1).select(*keys, target, fold, F.lit(None).cast("double").alias("prediction"))
-    return walk_forward(out.unionByName(train_only).withColumn("model", F.lit(name)), keys, target, fold)
+    return walk_forward(out.withColumn("model", F.lit(name)), keys, target, fold, rows=df)
 
 
 def summary(scores: DataFrame, keys: list[str]) -> DataFrame:

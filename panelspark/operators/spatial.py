@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.nulls import flag
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.panel import Panel
-from panelspark.session import small, stored
+from panelspark.session import materialize, small, stored
 
 AHEAD = 24
 #: A group whose members are not summed.
@@ -28,6 +28,7 @@ def regional_demand(df: DataFrame, members: DataFrame, panel: Panel, demand: str
     """
     (key,) = panel.keys
     df = stored(df)
+    members = members.groupBy(key).agg(F.max(F.struct("region", "enabled")).alias("_m")).select(key, "_m.*")
     sizes = members.where("enabled").groupBy("region").agg(F.count(F.lit(1)).alias("_size"))
     known = members.where(~F.col("region").isin(*skip)) if skip else members
     known = small(known.join(sizes, "region", "left").select(
@@ -51,7 +52,7 @@ def regional_demand(df: DataFrame, members: DataFrame, panel: Panel, demand: str
 def neighbour_values(df: DataFrame, edges: DataFrame, panel: Panel, value: str, aggs: dict) -> DataFrame:
     """(key, time, aggregates) over the neighbours' values one day earlier; ``edges``: (key, peer)."""
     (key,) = panel.keys
-    pairs = small(edges.select(F.col(key).alias("_target"), F.col("peer").alias(key)))
+    pairs = small(edges.select(F.col(key).alias("_target"), F.col("peer").alias(key)).distinct())
     values = df.where(F.col(value).isNotNull()).select(key, panel.shift(AHEAD).alias(panel.ts), value)
     spread = values.join(pairs, key).select(F.col("_target").alias(key), panel.ts, value)
     return spread.groupBy(key, panel.ts).agg(*[agg(value).alias(name) for name, agg in aggs.items()])
@@ -75,7 +76,7 @@ def stress_flags(df: DataFrame, panel: Panel, net: str = "interchange_net_lag24"
     """
     df = stored(df)
     q = exact_quantiles(df, list(panel.keys), net, {"_p90": 0.9, "_p10": 0.1})
-    out = df.join(q, list(panel.keys), "left")
+    out = df.join(small(materialize(q)), list(panel.keys), "left")
     return out.withColumns({
         "is_import_stress": flag(F.col(net) > F.col("_p90")),
         "is_export_stress": flag(F.col(net) < F.col("_p10")),
@@ -96,5 +97,5 @@ def grid_stress(df: DataFrame, panel: Panel, regional: str = "regional_demand_in
     for value, top in parts:
         total = total + F.when(top.isNull(), F.lit(0.0)).otherwise(F.try_divide(value, top))
         used = used + top.isNotNull().cast("int")
-    out = df.join(tops, list(panel.keys), "left")
+    out = df.join(small(materialize(tops)), list(panel.keys), "left")
     return out.withColumn("grid_stress_index", F.try_divide(total, used)).drop("_r", "_n")

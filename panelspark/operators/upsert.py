@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.session import materialize
 
-#: Up to this many changed partitions are listed in a scan filter.
-MAX_LISTED = 1_000
-
 LOG_SCHEMA = (
     "run_at timestamp, endpoint string, respondent string, source_file string, rows_raw long, "
     "rows_ingested long, rows_imputed long, rows_anomaly long, status string, error_msg string"
@@ -30,13 +30,10 @@ def merge_rows(rows: DataFrame, key: list[str], order: str, replace: list[str],
 
 
 def _touched(base: DataFrame, batch: DataFrame, partition_by: list[str]) -> DataFrame:
-    """Rows of the partitions that ``batch`` changes. Few partitions become a filter on the scan."""
-    changed = batch.select(*partition_by).distinct()
-    if len(partition_by) == 1:
-        values = [r[0] for r in changed.limit(MAX_LISTED + 1).collect()]
-        if len(values) <= MAX_LISTED:
-            return base.where(F.col(partition_by[0]).isin(*values))
-    return base.join(changed, partition_by, "left_semi")
+    """Rows of the partitions that ``batch`` changes, also of the one whose value is NULL."""
+    changed = batch.select(*[F.col(c).alias(f"_changed_{c}") for c in partition_by]).distinct()
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_changed_{c}")) for c in partition_by])
+    return base.join(changed, same, "left_semi")
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: list[str], partition_by: list[str],

@@ -20,7 +20,7 @@ from panelspark.operators import cleaning, flows, joins, spatial, splits
 from panelspark.operators.blocks import lag, over_blocks
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.panel import Panel
-from panelspark.session import small, stored
+from panelspark.session import materialize, small, stored
 
 KEY, TS = "respondent", "period"
 
@@ -71,7 +71,7 @@ def spine(region: DataFrame, panel: Panel) -> DataFrame:
     ).where("_rows > 0").drop("_rows")
     wide = stored(wide)
     with_demand = wide.where("demand_mw IS NOT NULL").select(KEY).distinct()
-    grid = cleaning.regular_grid(wide, panel).join(with_demand, KEY, "left_semi")
+    grid = cleaning.regular_grid(wide, panel).join(small(materialize(with_demand)), KEY, "left_semi")
     return grid.fillna(0, ["is_imputed", "is_anomaly"])
 
 
@@ -80,7 +80,7 @@ def _with_fuel(base: DataFrame, table: DataFrame | None, panel: Panel) -> DataFr
         return _nulls(base, fuel.ALL_FUELS).withColumn("has_fuel", F.lit(False))
     wide = joins.fuel_wide(table, panel, fuel.ALL_FUELS, "value_mwh")
     seen = table.select(KEY).distinct().withColumn("has_fuel", F.lit(True))
-    out = joins.align(base, panel, wide).join(seen, KEY, "left")
+    out = joins.align(base, panel, wide).join(small(seen), KEY, "left")
     return out.withColumn("has_fuel", F.coalesce("has_fuel", F.lit(False)))
 
 
@@ -91,10 +91,16 @@ def _with_flows(base: DataFrame, table: DataFrame | None, panel: Panel) -> DataF
     return joins.align(base, panel, net.select(KEY, TS, "net_interchange"))
 
 
+def one_row(table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per key: of repeated rows the greatest, compared column by column. A repeated row would add a step to the grid."""
+    best = table.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_b"))
+    return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in columns])
+
+
 def _with_weather(base: DataFrame, table: DataFrame | None, panel: Panel) -> DataFrame:
     if table is None:
         return _nulls(base, weather.CORE)
-    return joins.align(base, panel, table.select(KEY, TS, *weather.CORE))
+    return joins.align(base, panel, one_row(table, [KEY, TS], weather.CORE))
 
 
 _REGIONAL = ("regional_demand_index", "regional_demand_per_ba")
@@ -118,14 +124,14 @@ def _with_peers(base: DataFrame, raw: DataFrame, tables: Tables, panel: Panel) -
     out = joins.align(out, panel, spatial.neighbour_demand(raw, edges, panel, "_raw"))
     if tables.weather is None:
         return _nulls(out, ["neighbor_temp_2m"])
-    return joins.align(out, panel, spatial.neighbour_weather(tables.weather, edges, panel))
+    return joins.align(out, panel, spatial.neighbour_weather(one_row(tables.weather, [KEY, TS], ["temp_2m"]), edges, panel))
 
 
 def _calendar(df: DataFrame) -> DataFrame:
     ts = F.col(TS)
     df = df.withColumns({
         **calendar.basic(ts), **calendar.fourier(ts), **calendar.annual(ts), **calendar.month_position(ts),
-        "is_covid_period": calendar.in_period(ts), "is_dst_transition": calendar.on_dates(ts),
+        "is_covid_period": calendar.in_period(ts), "is_dst_transition": calendar.clock_change(ts),
     })
     return df.withColumn("is_business_day", calendar.business_day(ts, F.col("is_us_holiday")))
 
@@ -171,7 +177,8 @@ def feature_matrix(tables: Tables, panel: Panel = Panel(), base_year: int = spli
     grid = stored(spine(tables.region, panel))
     raw = grid.select(KEY, TS, F.col("demand_mw").alias("_raw"))
     raw._is_stored = True  # a projection of a written table
-    bounded = stored(cleaning.absolute_bounds(grid, "demand_mw", "eia_forecast_mw"))
+    bounded = cleaning.absolute_bounds(grid, "demand_mw", "eia_forecast_mw")
+    bounded._is_stored = True  # a projection of a written table
     base = cleaning.statistical_cap(bounded, panel, "demand_mw", "eia_forecast_mw")
     base = _with_fuel(base, tables.fuel, panel)
     base = _with_flows(base, tables.flows, panel)
@@ -184,17 +191,17 @@ def feature_matrix(tables: Tables, panel: Panel = Panel(), base_year: int = spli
     }
     df = over_blocks(base, panel, stage).withColumns({
         **demand.momentum(), **demand.generation_changes(), **fuel.mix(has_fuel=F.col("has_fuel"))})
-    df = df.join(_whole_history(base, panel), KEY, "left")
+    df = df.join(small(materialize(_whole_history(base, panel))), KEY, "left")
     if tables.coordinates is None:
         df = _nulls(df, ["lat"])
     else:
-        df = df.join(small(tables.coordinates.select(KEY, "lat")), KEY, "left")
+        df = df.join(small(one_row(tables.coordinates, [KEY], ["lat"])), KEY, "left")
     df = holidays.add_holidays(df, TS, (KEY,), source=base)
     df = _stress(_weather_columns(_calendar(df)))
     df = df.withColumn("fold", splits.fold_label(F.col(TS), base_year))
     # On a gap-free grid the position of a row follows from its time.
-    first = base.groupBy(KEY).agg(F.min(TS).alias("_first"))
-    df = df.join(first, KEY).where(
+    first = materialize(base.groupBy(KEY).agg(F.min(TS).alias("_first")))
+    df = df.join(small(first), KEY).where(
         (F.col(TS) >= panel.shift(splits.WARMUP_ROWS, F.col("_first"))) & F.col("demand_mw").isNotNull())
     hidden = [c for c in df.columns if c.startswith("_") or c.startswith("fuel_")]
     return df.drop(*hidden, *fuel.ALL_FUELS, "has_fuel", "net_generation", "total_interchange", "net_interchange", "neighbor_temp_2m", "lat")

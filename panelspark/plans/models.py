@@ -77,7 +77,7 @@ def ridge(train: DataFrame, features: list[str], target: str, alpha: float = 1.0
 def boosted(train: DataFrame, features: list[str], target: str, **params) -> Pipeline:
     params.pop("name", None)
     stages, _ = _filled(features)
-    fit = GBTRegressor(featuresCol="raw_features", labelCol=target, seed=SEED, cacheNodeIds=True, **params)
+    fit = GBTRegressor(featuresCol="raw_features", labelCol=target, seed=SEED, **params)
     return Pipeline(stages=[*stages, fit])
 
 

@@ -9,6 +9,7 @@ from panelspark.functions.nulls import clip
 from panelspark.operators.blocks import over_blocks, rolling
 from panelspark.operators.scoring import OVERALL
 from panelspark.panel import Panel
+from panelspark.session import small
 
 DRIFT_DAYS = 7
 DRIFT_LIMIT = 0.15
@@ -26,7 +27,7 @@ def drift(df: DataFrame, panel: Panel, train_rmse: DataFrame, target: str = "dem
     rolled = over_blocks(df.withColumn("_sq", sq), panel, {"_ms": rolling(F.avg, "_sq", steps)})
     rolled = rolled.withColumn("rolling_rmse", F.sqrt(clip(F.col("_ms"), 0.0))).drop("_sq", "_ms")
     ratio = F.try_divide(F.col("rolling_rmse") - F.col("train_rmse"), F.col("train_rmse"))
-    joined = rolled.join(train_rmse, list(panel.keys), "left").withColumn("drift", ratio)
+    joined = rolled.join(small(train_rmse), list(panel.keys), "left").withColumn("drift", ratio)
     return joined.withColumn("alert", F.coalesce(F.col("drift") > limit, F.lit(False)).cast("int"))
 
 
@@ -53,5 +54,10 @@ def priority_summary(scores: DataFrame, registry: DataFrame, key: str) -> DataFr
     best = overall.groupBy(key).agg(F.min_by(F.struct("model", "rmse"), F.struct("rmse", "model")).alias("_b"))
     joined = registry.where("enabled").join(best, key, "left").select(
         key, "priority", F.col("_b.model").alias("best_model"), F.col("_b.rmse").alias("best_rmse"))
-    place = F.row_number().over(Window.orderBy("priority", key))  # one row per region
-    return joined.withColumn("position", place)
+    # A place is that within the priority plus the regions of higher priority; the second is counted on one row per priority.
+    above = F.sum("_n").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1))
+    before = joined.groupBy("priority").agg(F.count("*").alias("_n")).select(
+        F.col("priority").alias("_p"), F.coalesce(above, F.lit(0)).alias("_above"))
+    inside = F.row_number().over(Window.partitionBy("priority").orderBy(key))
+    placed = joined.withColumn("_inside", inside).join(small(before), F.col("priority").eqNullSafe(F.col("_p")))
+    return placed.withColumn("position", (F.col("_inside") + F.col("_above")).cast("int")).drop("_inside", "_p", "_above")

@@ -99,7 +99,12 @@ def top_importance(rows: DataFrame, top: int = 10) -> DataFrame:
 
 
 def ingest_rollup(log: DataFrame) -> DataFrame:
-    """Succeeded and failed runs, rows and failed regions per endpoint (the latest run per region)."""
+    """Succeeded and failed regions, rows and names of failed regions per endpoint, by the latest run of each region.
+
+    Of runs at the same time a successful one counts, then the one with more rows.
+    """
+    order = F.struct("run_at", F.col("status") == "success", "rows_ingested")
+    log = log.groupBy("endpoint", "respondent").agg(F.max_by(F.struct("status", "rows_ingested"), order).alias("_l")).select("endpoint", "respondent", "_l.*")
     bad = F.col("status") != "success"
     return log.groupBy("endpoint").agg(
         F.count(F.when(~bad, 1)).alias("n_success"), F.count(F.when(bad, 1)).alias("n_failed"),

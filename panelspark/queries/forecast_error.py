@@ -49,15 +49,15 @@ FCST_ERROR_ALIGNED = f"""WITH {ERROR_SQL} SELECT respondent, period, {r('aligned
 
 
 def fcst_bias_by_hour(spark: SparkSession, d: str) -> DataFrame:
-    """Over 10 rows of the same hour, at least 4: the driver table has 30 days."""
+    """Over 168 rows of the same hour, at least 24; the driver table has 30 days."""
     rows = _history(spark, d).withColumn("hour_of_day", F.hour("period"))
-    out = fe.bias_by_hour(rows, a.HOURLY.with_(block=512), rows=10, need=4)
+    out = fe.bias_by_hour(rows, a.HOURLY.with_(block=512))
     return tidy(out.select("respondent", "period", "eia_bias_by_hour"))
 
 
 FCST_BIAS_BY_HOUR = f"""WITH {ERROR_SQL}
-SELECT respondent, period, CASE WHEN count(eia_error_48h) OVER w >= 4 THEN {r('avg(eia_error_48h) OVER w')} END AS eia_bias_by_hour
-FROM errors WINDOW w AS (PARTITION BY respondent, hour(period) ORDER BY period ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""
+SELECT respondent, period, CASE WHEN count(eia_error_48h) OVER w >= 24 THEN {r('avg(eia_error_48h) OVER w')} END AS eia_bias_by_hour
+FROM errors WINDOW w AS (PARTITION BY respondent, hour(period) ORDER BY period ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)"""
 
 
 def fcst_range(spark: SparkSession, d: str) -> DataFrame:

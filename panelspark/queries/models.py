@@ -11,7 +11,7 @@ from panelspark.queries import adapters as a
 from panelspark.queries.adapters import tidy
 from panelspark.session import stored
 
-FEATURES = ["lag_24h", "lag_48h", "lag_168h", "eia_forecast_mw", "day_of_week", "month"]
+FEATURES = ["lag_24h", "lag_48h", "lag_168h", "day_of_week", "month"]
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -20,19 +20,15 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return stored(rows.where("demand_mw IS NOT NULL"))
 
 
-def _with_anchor(rows: DataFrame, predicted: DataFrame, name: str) -> DataFrame:
-    """Training-only rows are added without a prediction, so that folds are seen to have a past."""
-    cols = ["respondent", "fold", "demand_mw"]
-    anchor = rows.where("fold = -1").select(*cols, F.lit(None).cast("double").alias("prediction"))
-    long = predicted.select(*cols, "prediction").unionByName(anchor).withColumn("model", F.lit(name))
-    return scoring.walk_forward(long, ["respondent"])
+def _scored(rows: DataFrame, predicted: DataFrame, name: str) -> DataFrame:
+    return scoring.walk_forward(predicted.withColumn("model", F.lit(name)), ["respondent"], rows=rows)
 
 
 def ridge_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
     model = stored(ridge.fit(rows, ["respondent"], FEATURES))
     predicted = ridge.walk_forward_predictions(rows, model, ["respondent"], FEATURES)
-    return tidy(_with_anchor(rows, predicted, "Ridge"))
+    return tidy(_scored(rows, predicted, "Ridge"))
 
 
 def ridge_importance(spark: SparkSession, d: str) -> DataFrame:
@@ -45,13 +41,13 @@ def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     """Few, shallow trees: the query shows the walk-forward job, not a tuned model."""
     rows = _rows(spark, d)
     predicted = models.walk_forward_predictions(rows, "xgboost", FEATURES, maxIter=4, maxDepth=3, stepSize=0.3)
-    return tidy(_with_anchor(rows, predicted, "XGBoost"))
+    return tidy(_scored(rows, predicted, "XGBoost"))
 
 
 def forest_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
     predicted = models.walk_forward_predictions(rows, "random_forest", FEATURES, numTrees=8, maxDepth=4)
-    return tidy(_with_anchor(rows, predicted, "RandomForest"))
+    return tidy(_scored(rows, predicted, "RandomForest"))
 
 
 QUERIES = {

@@ -15,8 +15,12 @@ from panelspark.streaming import ingest
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = a.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The table as a stream of files; a table of many files is a folder."""
+    reader = spark.readStream.schema(a.table(spark, d, "events").schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{d}/events.parquet")
+    return reader.option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 def _place(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ PAGE_SCHEMA = (
     "response struct<data: array<struct<period: string, respondent: string, type: string, "
     "`type-name`: string, value: string>>, total: string>, error string, message string"
 )
-#: Names in the weather response and in our tables.
+# Names in the weather response and in our tables.
 WEATHER_NAMES = {
     "temperature_2m": "temp_2m", "apparent_temperature": "apparent_temp", "dewpoint_2m": "dewpoint_2m",
     "relative_humidity_2m": "relative_humidity", "windspeed_10m": "windspeed_10m",
@@ -32,13 +32,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_pages(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
-    """(rows, errors). A page without a ``response`` is an error with its message.
+    """(rows, errors). A page without a ``response`` is an error with its message, or with the whole document if it has none.
 
     Rows with an unreadable period are skipped, unreadable values become NULL.
     """
     parsed = docs.withColumn("_p", F.from_json(doc, PAGE_SCHEMA))
     failed = F.col("_p.response").isNull()
-    text = F.coalesce(F.col("_p.error"), F.col("_p.message"), F.substring(F.col(doc), 1, 200))
+    text = F.coalesce(F.col("_p.error"), F.col("_p.message"), F.col(doc))
     errors = parsed.where(failed).withColumn("error_msg", text).drop("_p", doc)
     rows = parsed.where(~failed).select(F.inline("_p.response.data"))
     period = F.try_to_timestamp("period", F.lit(PERIOD_FORMAT)).cast("timestamp_ntz")
@@ -50,8 +50,11 @@ def parse_pages(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame
     return good, errors
 
 
-def parse_weather(docs: DataFrame, keep: list[str], doc: str = "doc") -> DataFrame:
-    """Parallel arrays to rows. A variable that is absent becomes a NULL column."""
+def parse_weather(docs: DataFrame, keep: list[str], doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) from parallel arrays. A variable that is absent becomes a NULL column.
+
+    Errors are (keep, time, error_msg): a response without times, with the whole document as its message, or a row whose time cannot be read.
+    """
     arrays = ", ".join(f"{n}: array<double>" for n in WEATHER_NAMES)
     parsed = docs.withColumn("_h", F.from_json(doc, f"hourly struct<time: array<string>, {arrays}>")["hourly"])
     size = F.size("_h.time")
@@ -60,10 +63,12 @@ def parse_weather(docs: DataFrame, keep: list[str], doc: str = "doc") -> DataFra
     ]
     arrays_only = parsed.where(size > 0).select(*keep, *columns)
     rows = arrays_only.select(*keep, F.inline(F.arrays_zip("time", *WEATHER_NAMES)))
-    return rows.select(
-        *keep, F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm")).alias("period"),
-        *[nan_to_null(F.col(n)).alias(c) for n, c in WEATHER_NAMES.items()],
-    )
+    period = F.try_to_timestamp("time", F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz")
+    values = [nan_to_null(F.col(n)).alias(c) for n, c in WEATHER_NAMES.items()]
+    good = rows.select(*keep, period.alias("period"), *values).where("period IS NOT NULL")
+    unread = rows.where(period.isNull()).select(*keep, "time", F.lit("time cannot be read").alias("error_msg"))
+    empty = parsed.where(F.coalesce(size, F.lit(-1)) <= 0).select(*keep, F.lit(None).cast("string").alias("time"), F.col(doc).alias("error_msg"))
+    return good, unread.unionByName(empty)
 
 
 def progress_rows(docs: DataFrame, doc: str = "doc") -> DataFrame:

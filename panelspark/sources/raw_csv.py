@@ -9,23 +9,24 @@ from panelspark.functions.nulls import nan_to_null
 
 PERIOD_FORMAT = "yyyy-MM-dd'T'HH"
 
-#: Endpoints, most specific name first, with their columns in file order. Everything is read as text.
+# Endpoints, most specific name first, with their columns in file order. Everything is read as text.
 ENDPOINTS: dict[str, tuple[str, ...]] = {
     "region-sub-ba-data": ("period", "subba", "subba-name", "parent", "value"),
     "fuel-type-data": ("period", "respondent", "respondent-name", "fueltype", "type-name", "value", "value-units"),
     "interchange-data": ("period", "fromba", "fromba-name", "toba", "toba-name", "value", "value-units"),
     "region-data": ("period", "respondent", "respondent-name", "type", "type-name", "value", "value-units"),
 }
-#: Column that holds the region code of an endpoint.
+# Column that holds the region code of an endpoint.
 CODE_COLUMN = {
     "region-sub-ba-data": "parent", "fuel-type-data": "respondent", "interchange-data": "fromba",
     "region-data": "respondent",
 }
-#: Unique key of the clean table of an endpoint.
+# Unique key of the clean table of an endpoint.
 KEYS = {
     "region-sub-ba-data": ("period", "subba"), "fuel-type-data": ("period", "respondent", "fueltype"),
     "interchange-data": ("period", "fromba", "toba"), "region-data": ("period", "respondent", "type"),
 }
+# Names in the files and in our tables.
 RENAMES = {
     "respondent-name": "respondent_name", "type-name": "type_name", "fromba-name": "fromba_name",
     "toba-name": "toba_name", "subba-name": "subba_name",

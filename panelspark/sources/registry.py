@@ -57,8 +57,7 @@ COORDINATES = {
 
 def load_registry(spark: SparkSession, path: str, section: str = "balancing_authorities") -> DataFrame:
     """Registry from a YAML (or JSON) settings file. The file is a small settings document."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+    text = spark.read.text(path, wholetext=True).first()[0]
     if path.endswith(".json"):
         entries = json.loads(text)[section]
     else:
@@ -119,9 +118,11 @@ def without_coordinates(codes: DataFrame, coordinates: DataFrame) -> DataFrame:
 
 def fetch_plan(regions: DataFrame, endpoints: dict[str, int] = ENDPOINT_ROWS, delay: float = 0.5,
                page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Regions, estimated rows, pages and hours per endpoint."""
+    """Regions, estimated rows, pages and hours per endpoint, and a row ``total`` over all endpoints."""
     each = F.array(*[F.struct(F.lit(e).alias("endpoint"), F.lit(n).cast("long").alias("_rows")) for e, n in endpoints.items()])
     plan = regions.select(F.inline(each)).groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("n_regions"), F.sum("_rows").alias("est_rows"))
+    total = plan.agg(F.max("n_regions").alias("n_regions"), F.sum("est_rows").alias("est_rows")).where("est_rows IS NOT NULL")
+    plan = plan.unionByName(total.select(F.lit("total").alias("endpoint"), "n_regions", "est_rows"))
     pages = F.col("est_rows") / page_rows
     return plan.withColumns({"est_pages": pages, "est_hours": pages * delay / 3600})

@@ -6,7 +6,7 @@ stopped. Every batch is merged by key, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,7 +40,10 @@ def load_batch(spark: SparkSession, batch: DataFrame, endpoint: str, table: str,
     try:
         batch = stored(batch.withColumn("_row", F.monotonically_increasing_id()))
         good, _ = raw_csv.parse_raw(batch)
-        order = F.struct("_modified", *raw_csv.READ_ORDER).alias("_order")
+        # In a file the first row of a key counts, across files the later file.
+        unique = Window.partitionBy(*key, "source_file").orderBy(*raw_csv.READ_ORDER)
+        good = good.withColumn("_rn", F.row_number().over(unique)).where("_rn = 1").drop("_rn")
+        order = F.struct("_modified", "source_file").alias("_order")
         rows = raw_csv.table_columns(good.withColumn("endpoint", F.lit(endpoint)), endpoint)
         names = [c for c in rows.columns if c not in (*key, "value_mwh")]
         kept = [c for c in KEPT_NAMES[endpoint] if c in names]
@@ -56,7 +59,7 @@ def load_batch(spark: SparkSession, batch: DataFrame, endpoint: str, table: str,
             append_log_rows(counts.select("*", F.lit(endpoint).alias("endpoint"), F.lit("success").alias("status")), log)
     except Exception as e:
         if log:
-            append_log(spark, log, endpoint=endpoint, status="error", error_msg=str(e)[:500])
+            append_log(spark, log, endpoint=endpoint, status="error", error_msg=str(e))
         raise
 
 

@@ -65,7 +65,7 @@ def main() -> None:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = local_session(8)
+    spark = local_session(os.environ.get("ORACLE_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

@@ -78,3 +78,29 @@ def test_no_exchange_on_the_series_key_alone(hourly):
     out = over_blocks(hourly({"a": range(10)}), P, {"l": lag("value", 3)}, {"m": rolling(F.avg, "l", 5)})
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(respondent") == 1 and "_block" in plan
+
+
+@pytest.mark.parametrize("spike", [1e7, 1e9, 1e12])
+@pytest.mark.parametrize("width", [2, 7, 8, 24, 168])
+def test_spikes_elsewhere_cost_no_digit(hourly, spike, width):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.uniform(1000, 1010, 600), 3)
+    v[20], v[400:] = spike, 0.1
+    panel = Panel(block=512)
+    df = over_blocks(hourly({"a": list(v)}), panel, {
+        "s": rolling(F.stddev_samp, "value", width, 2), "m": rolling(F.avg, "value", width), "t": rolling(F.sum, F.col("value") * 2, width),
+        "n": rolling(F.count, "value", width)}).orderBy("period").toPandas()
+    for i in range(width, 600):
+        part = v[i - width + 1:i + 1]
+        if spike not in part:
+            assert df.s[i] == pytest.approx(part.std(ddof=1), rel=1e-6, abs=1e-9) and df.m[i] == pytest.approx(part.mean(), rel=1e-12)
+            assert df.t[i] == pytest.approx(2 * part.sum(), rel=1e-12) and df.n[i] == width
+    assert (df.s[400 + width:] == 0).all()
+
+
+@pytest.mark.parametrize("width", [3, 7, 8, 30])
+def test_nan_is_missing_for_every_width_and_form(hourly, width):
+    data = {"a": [1.0, float("nan"), 2.0, float("inf"), None] * 20}
+    df = over_blocks(hourly(data), P, {
+        "n": rolling(F.count, "value", width), "c": rolling(F.avg, F.col("value"), width), "m": rolling(F.avg, "value", width)}).where("period > '2022-01-02'").collect()
+    assert all(r.m == r.c and 1 <= r.m <= 2 and 0 < r.n < width for r in df)

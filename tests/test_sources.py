@@ -86,7 +86,7 @@ def test_json_pages(spark, tmp_path):
 def test_weather_response(spark):
     doc = {"hourly": {"time": ["2022-01-01T00:00", "2022-01-01T01:00"], "temperature_2m": [1.0, None], "cloudcover": [5, 6]}}
     df = spark.createDataFrame([("A", json.dumps(doc)), ("B", json.dumps({"hourly": {"time": []}})), ("C", "{}")], "respondent string, doc string")
-    got = json_pages.parse_weather(df, ["respondent"]).orderBy("period").collect()
+    got = json_pages.parse_weather(df, ["respondent"])[0].orderBy("period").collect()
     assert [(r.respondent, r.temp_2m, r.cloudcover, r.precipitation) for r in got] == [("A", 1.0, 5.0, None), ("A", None, 6.0, None)]
 
 
