@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from panelspark.plans import reports
 from panelspark.queries import adapters as a
 from panelspark.queries.adapters import cols, r, tidy
 from panelspark.queries.scoring import VERSUS_SQL, _versus
+from panelspark.session import checkpoint_root
 from panelspark.sources import json_pages, raw_csv, registry as reg, tables
 
 
@@ -22,8 +25,19 @@ def _raw_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(period.alias("period"), "respondent", F.col("type"), F.col("type").alias("type-name"), value.alias("value"))
 
 
+def _raw_files(spark: SparkSession, d: str) -> str:
+    """The raw rows as CSV files of the endpoint, written by Spark."""
+    path = f"{checkpoint_root(spark)}/raw-{uuid.uuid4().hex}"
+    names = raw_csv.ENDPOINTS["region-data"]
+    text = _raw_text(spark, d).select(*[F.col(f"`{c}`") if c in ("period", "respondent", "type", "type-name", "value") else F.lit("x").alias(c) for c in names])
+    # the writer chooses file names; the folder carries the name of the endpoint
+    text.write.option("header", True).csv(f"{path}/region-data")
+    return f"{path}/region-data"
+
+
 def csv_scan(spark: SparkSession, d: str) -> DataFrame:
-    good, _ = raw_csv.parse_raw(_raw_text(spark, d))
+    """Real files, written from the table and read back as text; columns are checked against the headers."""
+    good, _ = raw_csv.parse_raw(raw_csv.read_files(spark, _raw_files(spark, d), "region-data"))
     return tidy(raw_csv.table_columns(good, "region-data"))
 
 

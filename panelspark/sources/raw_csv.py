@@ -48,20 +48,23 @@ def code_of(file_name: Column) -> Column:
     return F.split_part(file_name, F.lit("_"), F.lit(1))
 
 
-def read_raw(spark: SparkSession, path: str, endpoint: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """All files of one endpoint in a folder, as text, with their origin and an order to break ties.
+def read_files(spark: SparkSession, path: str, endpoint: str, columns: tuple[str, ...] | None = None, names: str = "*.csv") -> DataFrame:
+    """Files of one endpoint below ``path``, as text, with their origin and an order to break ties.
 
     Column names are checked against the header of each file.
     """
-    names = columns or ENDPOINTS[endpoint]
-    schema = ", ".join(f"`{n}` string" for n in names)
+    schema = ", ".join(f"`{n}` string" for n in columns or ENDPOINTS[endpoint])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    df = reader.option("pathGlobFilter", f"*{endpoint}*.csv").csv(path)
-    file = F.col("_metadata.file_name")
+    df = reader.option("pathGlobFilter", names).csv(path)
     return df.select(
-        "*", file.alias("source_file"), endpoint_of(file).alias("endpoint"), code_of(file).alias("file_code"),
-        F.col("_metadata.file_block_start").alias("_block_start"), F.monotonically_increasing_id().alias("_row"),
-    )
+        "*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block_start"),
+        F.monotonically_increasing_id().alias("_row"), F.col("_metadata.file_modification_time").alias("_modified"))
+
+
+def read_raw(spark: SparkSession, path: str, endpoint: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """All files of one endpoint in a folder; endpoint and region code are read from their names."""
+    file = F.col("source_file")
+    return read_files(spark, path, endpoint, columns, f"*{endpoint}*.csv").withColumns({"endpoint": endpoint_of(file), "file_code": code_of(file)})
 
 
 #: Order in which "first" is meant for duplicate periods.

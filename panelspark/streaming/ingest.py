@@ -6,21 +6,14 @@ stopped. Every batch is merged by key, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelspark.functions.nulls import nan_to_null
-from panelspark.operators.upsert import append_log, append_log_rows, merge_rows, upsert_table
-from panelspark.session import stored
+from panelspark.plans.ingest import load
 from panelspark.sources import raw_csv
 
-#: Columns whose first value stays when a row is corrected, per endpoint; region rows take the new names.
-KEPT_NAMES = {
-    "region-data": (), "fuel-type-data": ("respondent_name", "type_name"),
-    "interchange-data": ("fromba_name", "toba_name"), "region-sub-ba-data": ("subba_name", "parent"),
-}
-
 
 def read_stream(spark: SparkSession, path: str, endpoint: str, files_per_batch: int = 1000) -> DataFrame:
     """New files of one endpoint, as text with their origin."""
@@ -34,33 +27,8 @@ def read_stream(spark: SparkSession, path: str, endpoint: str, files_per_batch:
 
 
 def load_batch(spark: SparkSession, batch: DataFrame, endpoint: str, table: str, log: str | None = None) -> None:
-    """Parse one batch, merge it into the table and write a log row (also for a failed batch)."""
-    key = list(raw_csv.KEYS[endpoint])
-    source = raw_csv.CODE_COLUMN[endpoint]
-    try:
-        batch = stored(batch.withColumn("_row", F.monotonically_increasing_id()))
-        good, _ = raw_csv.parse_raw(batch)
-        # In a file the first row of a key counts, across files the later file.
-        unique = Window.partitionBy(*key, "source_file").orderBy(*raw_csv.READ_ORDER)
-        good = good.withColumn("_rn", F.row_number().over(unique)).where("_rn = 1").drop("_rn")
-        order = F.struct("_modified", "source_file").alias("_order")
-        rows = raw_csv.table_columns(good.withColumn("endpoint", F.lit(endpoint)), endpoint)
-        names = [c for c in rows.columns if c not in (*key, "value_mwh")]
-        kept = [c for c in KEPT_NAMES[endpoint] if c in names]
-        renamed = good.withColumnsRenamed(raw_csv.RENAMES).withColumnRenamed("value", "value_mwh")
-        replaced = ["value_mwh", *[c for c in names if c not in kept]]
-        latest = merge_rows(renamed.select(*rows.columns, order), key, "_order", replaced, kept)
-        latest = latest.withColumn("month", F.date_format("period", "yyyy-MM"))
-        upsert_table(spark, table, latest, [*key, "month"], ["month"], replaced, kept)
-        if log:
-            readable = F.try_to_timestamp("period", F.lit(raw_csv.PERIOD_FORMAT)).isNotNull()
-            counts = batch.groupBy(F.col(source).alias("respondent"), "source_file").agg(
-                F.count(F.lit(1)).alias("rows_raw"), F.count(F.when(readable, 1)).alias("rows_ingested"))
-            append_log_rows(counts.select("*", F.lit(endpoint).alias("endpoint"), F.lit("success").alias("status")), log)
-    except Exception as e:
-        if log:
-            append_log(spark, log, endpoint=endpoint, status="error", error_msg=str(e))
-        raise
+    """Clean one batch, merge it into the table and write its log rows (also for a failed batch)."""
+    load(spark, batch.withColumn("_row", F.monotonically_increasing_id()), endpoint, table, log)
 
 
 def ingest(spark: SparkSession, path: str, endpoint: str, table: str, checkpoint: str,
