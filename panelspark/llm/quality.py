@@ -136,7 +136,8 @@ RULES = (
     Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > 30 * t.n_words),
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 12 * t.n_words),
-    Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * len(t.lines)),
+    # a short text whose first line is also its last is no junk, so more than half of the lines must repeat
+    Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     Rule("shouting", lambda t: 2 * t.n_shouted > t.n_letters),
     Rule("echoes", lambda t: 10 * t.n_echoes > 2 * t.n_words),
     Rule("wordless", lambda t: 10 * t.n_wordless > 3 * t.n_words),
