@@ -149,21 +149,27 @@ DEFAULTS = {
 }
 
 
-def add_holidays(df: DataFrame, ts: str, keys: tuple[str, ...] = (), source: DataFrame | None = None) -> DataFrame:
+def year_span(ts: str) -> list[Column]:
+    """First and last year, as aggregates for ``add_holidays``."""
+    return [F.min(F.year(ts)).alias("_a"), F.max(F.year(ts)).alias("_b")]
+
+
+def add_holidays(df: DataFrame, ts: str, keys: tuple[str, ...] = (), span: DataFrame | None = None) -> DataFrame:
     """Join the holiday calendar on the UTC date.
 
     Only holidays of the years present in a series (per key) count. Series with the same first and last
-    year share one calendar, so the calendar does not grow with the number of series. The years are
-    read from ``source`` if given: a written table with the keys and times of ``df``.
+    year share one calendar, so the calendar does not grow with the number of series. ``span``: a written table with the ``year_span`` of
+    every series, if ``df`` already has it.
     """
-    if source is None:
-        source = df = stored(df)
-    span = source.groupBy(*keys).agg(F.min(F.year(ts)).alias("_a"), F.max(F.year(ts)).alias("_b"))
+    known = span is not None
+    if not known:
+        df = stored(df)
+        span = materialize(df.groupBy(*keys).agg(*year_span(ts)))
     years = span.where("_a IS NOT NULL").select("_a", "_b").distinct().withColumn("year", F.explode(F.sequence("_a", "_b")))
     calendar = holiday_calendar(years, ("_a", "_b")).withColumnRenamed("date", "_date")
     out = df.withColumn("_date", F.to_date(ts))
     if keys:
-        out = out.join(small(materialize(span)), list(keys), "left").join(small(materialize(calendar)), ["_a", "_b", "_date"], "left")
+        out = (out if known else out.join(small(span), list(keys), "left")).join(small(materialize(calendar)), ["_a", "_b", "_date"], "left")
     else:
         out = out.join(small(materialize(calendar)), "_date", "left")
     return out.drop("_a", "_b", "_date").fillna(DEFAULTS)

@@ -129,20 +129,32 @@ def _from_parts(agg: Callable, c: str | Column, start: int, end: int, min_period
         for level, columns in enumerate(_doubled(c, name, kinds, width, ahead)):
             needs[level:level + 1] = [(needs[level] if level < len(needs) else {}) | columns]
 
+    # Pieces, their number and their mean are columns of their own, so that no expression is repeated inside another.
+    tag = f"{start}_{end}_{name}".replace("-", "m")
+    pieces = [(f"{i}_{tag}", size, ahead, first + done if ahead else first - done)
+              for i, (ahead, first, done, size) in enumerate((a, f, d, n) for a, w, f in sides for d, n in _pieces(w))]
+    needs.append({f"_{k}p{at}": Over(lambda w, k=k, size=size, ahead=ahead, row=row: _shifted(_part(k, size, name, ahead), row, w))
+                  for at, size, ahead, row in pieces for k in kinds})
+
+    def each(k: str) -> list[Column]:
+        return [F.col(f"_{k}p{at}") for at, *_ in pieces]
+
+    def total(values: list[Column]) -> Column:
+        return reduce(add, [_or_zero(v) for v in values])
+
+    n, near, mean = (F.col(f"_{x}_{tag}") for x in ("rows", "near", "mean"))
+    needs.append({f"_rows_{tag}": total(each("n"))} | ({f"_near_{tag}": F.coalesce(*each("m"))} if "m" in kinds else {}))
+    if "m" in kinds:
+        needs.append({f"_mean_{tag}": near + F.try_divide(total([c * (m - near) for c, m in zip(each("n"), each("m"), strict=True)]), n)})
+
     def build(w: WindowSpec) -> Column:
-        parts = [{k: _shifted(_part(k, size, name, ahead), first + done if ahead else first - done, w) for k in kinds}
-                 for ahead, width, first in sides for done, size in _pieces(width)]
-        n = reduce(add, [_or_zero(p["n"]) for p in parts])
         if agg is F.count:
             value = n.cast("long")
         elif "s" in kinds:
-            total = reduce(add, [_or_zero(p["s"]) for p in parts])
-            value = F.when(n > 0, total if agg is F.sum else F.try_divide(total, n))
+            value = F.when(n > 0, total(each("s")) if agg is F.sum else F.try_divide(total(each("s")), n))
         else:
-            near = F.coalesce(*[p["m"] for p in parts])
-            mean = near + F.try_divide(reduce(add, [_or_zero(p["n"] * (p["m"] - near)) for p in parts]), n)
-            spread = reduce(add, [_or_zero(p["q"]) + _or_zero(p["n"] * (p["m"] - mean) * (p["m"] - mean)) for p in parts])
-            value = F.sqrt(F.try_divide(spread, n - 1))
+            spread = [q for q in each("q")] + [c * (m - mean) * (m - mean) for c, m in zip(each("n"), each("m"), strict=True)]
+            value = F.sqrt(F.try_divide(total(spread), n - 1))
         return F.when(n >= min_periods, value)
 
     return Over(build, back=max(0, -start), ahead=max(0, end), needs=tuple(needs))

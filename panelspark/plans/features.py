@@ -151,10 +151,11 @@ def _weather_columns(df: DataFrame) -> DataFrame:
 
 
 def _whole_history(base: DataFrame, panel: Panel) -> DataFrame:
-    """One row per region: flow quantiles and maxima of the regional components."""
+    """One row per region: flow quantiles, maxima of the regional components, first time and years."""
     net = over_blocks(base.select(KEY, TS, "net_interchange"), panel, {"_net": lag("net_interchange", 24)})
     q = exact_quantiles(net, [KEY], "_net", {"_p90": 0.9, "_p10": 0.1})
-    tops = base.groupBy(KEY).agg(F.max("regional_demand_index").alias("_top_r"), F.max("neighbor_demand_avg").alias("_top_n"))
+    tops = base.groupBy(KEY).agg(F.max("regional_demand_index").alias("_top_r"), F.max("neighbor_demand_avg").alias("_top_n"),
+                                 F.min(TS).alias("_first"), *holidays.year_span(TS))
     return tops.join(q, KEY, "left")
 
 
@@ -191,17 +192,17 @@ def feature_matrix(tables: Tables, panel: Panel = Panel(), base_year: int = spli
     }
     df = over_blocks(base, panel, stage).withColumns({
         **demand.momentum(), **demand.generation_changes(), **fuel.mix(has_fuel=F.col("has_fuel"))})
-    df = df.join(small(materialize(_whole_history(base, panel))), KEY, "left")
+    history = materialize(_whole_history(base, panel))
+    df = df.join(small(history), KEY, "left")
     if tables.coordinates is None:
         df = _nulls(df, ["lat"])
     else:
         df = df.join(small(one_row(tables.coordinates, [KEY], ["lat"])), KEY, "left")
-    df = holidays.add_holidays(df, TS, (KEY,), source=base)
+    df = holidays.add_holidays(df, TS, (KEY,), span=history)
     df = _stress(_weather_columns(_calendar(df)))
     df = df.withColumn("fold", splits.fold_label(F.col(TS), base_year))
     # On a gap-free grid the position of a row follows from its time.
-    first = materialize(base.groupBy(KEY).agg(F.min(TS).alias("_first")))
-    df = df.join(small(first), KEY).where(
+    df = df.where(
         (F.col(TS) >= panel.shift(splits.WARMUP_ROWS, F.col("_first"))) & F.col("demand_mw").isNotNull())
     hidden = [c for c in df.columns if c.startswith("_") or c.startswith("fuel_")]
     return df.drop(*hidden, *fuel.ALL_FUELS, "has_fuel", "net_generation", "total_interchange", "net_interchange", "neighbor_temp_2m", "lat")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,7 +131,15 @@ SELECT m.respondent, period, {cols('demand_mw eia_forecast_mw lag_24h lag_48h la
 FROM mix m JOIN q ON q.respondent = m.respondent WHERE rn > 168 AND demand_mw IS NOT NULL"""
 
 
+def feature_matrix_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The same matrix from tables in which every row of weather, members, neighbours and coordinates is there twice."""
+    t = tables(spark, d)
+    twice = {n: getattr(t, n).union(getattr(t, n)) for n in ("weather", "members", "neighbours", "coordinates")}
+    return tidy(features.feature_matrix(replace(t, **twice), a.HOURLY, 2024).select("respondent", "period", *_CORE, *_INTS))
+
+
 QUERIES = {
+    "feature_matrix_duplicates": (feature_matrix_duplicates, _core_sql()),
     "feature_matrix": (feature_matrix, None),
     "feature_matrix_core": (feature_matrix_core, _core_sql()),
 }

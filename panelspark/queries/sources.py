@@ -42,7 +42,7 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 CSV_SCAN = f"""WITH {a.HOURLY_LONG_SQL}
-SELECT respondent, period, type, type AS type_name, CASE WHEN hour(period) <> 7 THEN {r('value')} END AS value_mwh
+SELECT respondent, 'x' AS respondent_name, period, type, type AS type_name, CASE WHEN hour(period) <> 7 THEN {r('value')} END AS value_mwh
 FROM hourly_long WHERE NOT (hour(period) = 5 AND type = 'D')"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import demand, fuel
 from panelspark.operators import cleaning, flows, joins
-from panelspark.operators.blocks import over_blocks
+from panelspark.operators.blocks import over_blocks, rolling
 from panelspark.queries import adapters as a
 from panelspark.queries.adapters import cols, r, tidy
 
@@ -155,7 +155,44 @@ SELECT respondent, period, {r('total_all')} AS total_gen_mw_lag24,
 FROM totals"""
 
 
+def _spiked(spark: SparkSession, d: str) -> DataFrame:
+    """Every 97th hour is ten million times too large."""
+    hit = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', period) % 97 = 0")
+    return _demand(spark, d).withColumn("demand_mw", F.when(hit, F.col("demand_mw") * 1e7).otherwise(F.col("demand_mw")))
+
+
+_SPIKED_SQL = f"""{a.HOURLY_GRID_SQL}, spiked AS (
+  SELECT respondent, period, CASE WHEN datediff('hour', TIMESTAMP '2024-01-01', period) % 97 = 0 THEN demand_mw * 1e7 ELSE demand_mw END AS demand_mw
+  FROM hourly_grid)"""
+
+
+def rolling_after_spike(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the frames that hold no spike; spikes elsewhere in the block must not touch them."""
+    stage = {"top": rolling(F.max, "demand_mw", 24), "rolling_mean_24h": rolling(F.avg, "demand_mw", 24, 12), "rolling_std_24h": rolling(F.stddev_samp, "demand_mw", 24, 12)}
+    return tidy(over_blocks(_spiked(spark, d), a.HOURLY, stage).where("top < 1e10").drop("demand_mw", "top"))
+
+
+ROLLING_AFTER_SPIKE = f"""WITH {_SPIKED_SQL}, stats AS (
+  SELECT respondent, period, max(demand_mw) OVER day AS top, CASE WHEN count(demand_mw) OVER day >= 12 THEN {r('avg(demand_mw) OVER day')} END AS rolling_mean_24h,
+    list(demand_mw) OVER day AS frame, count(demand_mw) OVER day AS n
+  FROM spiked WINDOW day AS (PARTITION BY respondent ORDER BY period ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
+SELECT respondent, period, rolling_mean_24h, CASE WHEN n >= 12 THEN {r('list_stddev_samp(frame)')} END AS rolling_std_24h FROM stats WHERE top < 1e10"""
+
+
+def anomaly_after_spike(spark: SparkSession, d: str) -> DataFrame:
+    """Flags on the series with spikes."""
+    return tidy(cleaning.flag_anomalies(_spiked(spark, d), a.HOURLY, "demand_mw").drop("demand_mw"))
+
+
+ANOMALY_AFTER_SPIKE = f"""WITH {_SPIKED_SQL}, stats AS (
+  SELECT respondent, period, demand_mw, count(demand_mw) OVER w AS n, avg(demand_mw) OVER w AS mean, nullif(stddev_samp(demand_mw) OVER w, 0) AS std
+  FROM spiked WINDOW w AS (PARTITION BY respondent ORDER BY period ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING))
+SELECT respondent, period, CAST(coalesce(n >= 24 AND abs(demand_mw - mean) / std > 4, false) AS INTEGER) AS is_anomaly FROM stats"""
+
+
 QUERIES = {
+    "rolling_after_spike": (rolling_after_spike, ROLLING_AFTER_SPIKE),
+    "anomaly_after_spike": (anomaly_after_spike, ANOMALY_AFTER_SPIKE),
     "lags": (lags, LAGS),
     "rolling_anchored": (rolling_anchored, ROLLING_ANCHORED),
     "momentum": (momentum, MOMENTUM),
