@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import ODD_TEXTS, SF
+from cases import ODD_TEXTS, SF
 
 from panelspark.llm import decontamination as dc
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ODD_TEXTS
+from cases import ODD_TEXTS
 
 from panelspark.llm import language_id as li
 

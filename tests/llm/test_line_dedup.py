@@ -1,6 +1,6 @@
 """Line de-duplication against a slow version that aligns every later document with every earlier one that first had one of its lines."""
 
-from conftest import ODD_TEXTS
+from cases import ODD_TEXTS
 from hypothesis import given
 from hypothesis import strategies as st
 

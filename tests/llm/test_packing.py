@@ -2,7 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from conftest import ODD_TEXTS
+from cases import ODD_TEXTS
 
 from panelspark.llm import packing, tokens
 

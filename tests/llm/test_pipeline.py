@@ -1,5 +1,5 @@
 import corpus_pipeline as cp
-from conftest import SF
+from cases import SF
 from test_decontamination import slow as slow_contamination
 from test_line_dedup import slow as slow_lines
 from test_packing import check

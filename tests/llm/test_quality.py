@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import ODD_TEXTS
+from cases import ODD_TEXTS
 
 from panelspark.llm import quality as q
 
@@ -45,7 +45,7 @@ def test_labels_agree(spark):
     sf = "/root/testdata/sf0.01"
     kept = q.cascade(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("n_words >= 20").collect()
     good, bad = [r.kept for r in kept if r.quality == 1], [r.kept for r in kept if r.quality == 0]
-    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.25 * len(bad), (sum(good), len(good), sum(bad), len(bad))
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.02 * len(bad), (sum(good), len(good), sum(bad), len(bad))
 
 
 def test_order():

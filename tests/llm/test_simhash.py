@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import xxhash
-from conftest import ODD_TEXTS
+from cases import ODD_TEXTS
 
 from panelspark.llm import golay, simhash
 from panelspark.llm.components import components

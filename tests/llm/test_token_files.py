@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from conftest import ODD_TEXTS
+from cases import ODD_TEXTS
 from hypothesis import given
 from hypothesis import strategies as st
 
