@@ -183,9 +183,8 @@ UPSERT_LATEST = f"""SELECT event_type AS respondent, date_trunc('hour', ts) AS p
 
 
 def flag_join(spark: SparkSession, d: str) -> DataFrame:
-    """Demand hours with the flags of the cleaned series; hours without a cleaned row get 0."""
-    flags = cleaning.clean_series(
-        a.hourly_long(spark, d).where("type = 'NG' AND value IS NOT NULL").drop("type"), a.HOURLY, "value", threshold=3.0)
+    """Demand hours with the flags of the generation among the cleaned series; hours without a cleaned row get 0."""
+    flags = cleaning.clean_series(a.hourly_long(spark, d).where("value IS NOT NULL"), a.TYPED, "value", threshold=3.0).where("type = 'NG'").drop("type")
     spine = a.hourly_wide(spark, d).select("respondent", "period", F.col("D").alias("demand_mw"))
     return tidy(joins.with_flags(spine, flags, a.HOURLY))
 

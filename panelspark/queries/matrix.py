@@ -20,7 +20,9 @@ def region_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuel_table(spark: SparkSession, d: str) -> DataFrame:
-    ev = a.table(spark, d, "events").where("event_type <> 'view'")
+    """Supply by type; that of ``view`` belongs to a place that has no demand."""
+    place = F.when(F.col("event_type") == "view", "elsewhere").otherwise(F.col("event_type"))
+    ev = a.table(spark, d, "events").withColumn("event_type", place)
     code = F.element_at(F.array(*[F.lit(f) for f in FUEL_CODES]), (F.col("user_id") % 5 + 1).cast("int"))
     return ev.groupBy(F.col("event_type").alias("respondent"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("period"),
                       code.alias("fueltype")).agg(F.sum(a.cents("value")).cast("double").alias("value_mwh"))

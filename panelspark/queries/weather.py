@@ -120,24 +120,27 @@ SELECT respondent, period, {r('rh * temp_2m')} AS humidity_x_temp, {r('temp_2m *
   {r('temp_2m * CASE WHEN isodow(period) >= 6 THEN 1 ELSE 0 END')} AS temp_x_is_weekend FROM rh"""
 
 
+#: Types in the order of the supply regions R0 ... R4.
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
 def supply_interactions(spark: SparkSession, d: str) -> DataFrame:
-    """Wind and sun times the shares of one supply region with the same hours."""
+    """Wind and sun times the shares of the supply region that goes with each type, in the same hours."""
     from panelspark.functions import fuel
 
     mix = fuel.mix(a.FUELS)
-    shares = a.supply_shifted(spark, d).where("respondent = 'R0'").select(
-        "period", mix["wind_pct"].alias("wind_pct"), mix["solar_pct"].alias("solar_pct"))
-    out = a.weather_hourly(spark, d).join(shares, "period", "left")
+    region = F.create_map(*[F.lit(x) for i, kind in enumerate(_KINDS) for x in (f"R{i}", kind)])
+    shares = a.supply_shifted(spark, d).select(
+        region[F.col("respondent")].alias("respondent"), "period", mix["wind_pct"].alias("wind_pct"), mix["solar_pct"].alias("solar_pct"))
+    out = a.weather_hourly(spark, d).join(shares, ["respondent", "period"], "left")
     made = weather.supply_interactions(F.col("windspeed_10m"), F.col("solar_irradiance"), F.col("wind_pct"), F.col("solar_pct"))
     return tidy(out.select("respondent", "period", *[c.alias(n) for n, c in made.items()]))
 
 
-SUPPLY_INTERACTIONS = f"""WITH {a.WEATHER_SQL}, {a.SUPPLY_SQL}
-SELECT w.respondent, w.period, {r('windspeed_10m * coalesce(wnd / total4, 0)')} AS wind_x_wind_pct,
-  {r('solar_irradiance * coalesce(sun / total4, 0)')} AS solar_x_solar_pct
-FROM weather_hourly w JOIN totals t ON t.period = w.period AND t.respondent = 'R0'
-UNION ALL SELECT w.respondent, w.period, NULL, NULL FROM weather_hourly w
-WHERE w.period NOT IN (SELECT period FROM totals WHERE respondent = 'R0')"""
+SUPPLY_INTERACTIONS = f"""WITH {a.WEATHER_SQL}, {a.SUPPLY_SQL}, regions AS (SELECT unnest({list(_KINDS)}) AS kind, unnest(['R0', 'R1', 'R2', 'R3', 'R4']) AS region)
+SELECT w.respondent, w.period, CASE WHEN t.period IS NOT NULL THEN {r('windspeed_10m * coalesce(wnd / total4, 0)')} END AS wind_x_wind_pct,
+  CASE WHEN t.period IS NOT NULL THEN {r('solar_irradiance * coalesce(sun / total4, 0)')} END AS solar_x_solar_pct
+FROM weather_hourly w JOIN regions g ON g.kind = w.respondent LEFT JOIN totals t ON t.period = w.period AND t.respondent = g.region"""
 
 
 QUERIES = {

@@ -115,13 +115,14 @@ WIDE_PIVOT = f"WITH {a.HOURLY_WIDE_SQL} SELECT respondent, period, {r('d')} AS d
 
 
 def fuel_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Fuel columns; nuclear is left out for one region, so that it never reports a base fuel there."""
-    long = a.fuel_long(spark, d).where("NOT (respondent = 'R1' AND fueltype = 'SUN')")
+    """Fuel columns; the sun of one region carries another code, so that it never reports a base fuel there."""
+    other = (F.col("respondent") == "R1") & (F.col("fueltype") == "SUN")
+    long = a.fuel_long(spark, d).withColumn("fueltype", F.when(other, "OTH").otherwise(F.col("fueltype")))
     return tidy(joins.fuel_wide(long, a.HOURLY, a.FUELS, base=fuel.BASE_FUELS))
 
 
 FUEL_WIDE = f"""WITH {a.FUEL_SQL},
-kept AS (SELECT * FROM fuel_long WHERE NOT (respondent = 'R1' AND fueltype = 'SUN'))
+kept AS (SELECT * REPLACE (CASE WHEN respondent = 'R1' AND fueltype = 'SUN' THEN 'OTH' ELSE fueltype END AS fueltype) FROM fuel_long)
 SELECT respondent, period, max(CASE WHEN fueltype = 'WND' THEN {r('value')} END) AS "WND",
   CASE WHEN respondent = 'R1' THEN CAST(0 AS DOUBLE) ELSE max(CASE WHEN fueltype = 'SUN' THEN {r('value')} END) END AS "SUN",
   max(CASE WHEN fueltype = 'COL' THEN {r('value')} END) AS "COL", max(CASE WHEN fueltype = 'NG' THEN {r('value')} END) AS "NG",
