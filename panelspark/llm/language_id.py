@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm.common import in_fold, record_batch, texts, values, with_row
 
@@ -103,7 +104,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` with ``lang_pred`` and ``score`` in place of ``text``. Only the text is looked at."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in documents.columns if c != "text"]
-    ddl = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string, score double"])
+    schema = T.StructType([*(documents.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +112,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                                              names=[*kept, "lang_pred", "score"])
 
-    return documents.mapInArrow(run, ddl)
+    return documents.mapInArrow(run, schema)
 
 
 def identify(documents: DataFrame, folds: int = 5, rest: int = 0, sample: int = SAMPLE) -> DataFrame:
