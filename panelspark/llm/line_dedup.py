@@ -135,19 +135,21 @@ def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sign = F.lit(-(1 << 63)).cast("long")
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     doc = F.unhex(F.concat(F.lpad(F.hex(number.bitwiseXOR(sign)), 16, "0"), F.lpad(F.hex(F.xxhash64("text")), 16, "0")))
-    keyed = with_row(documents, doc=doc, text=F.col("text"))
-    gone = repeated(keyed, min_words)
-    lines = F.split("text", "\n", -1)
+    keyed = with_row(documents, doc=doc)
+    gone = repeated(keyed.select("doc", "_row.text"), min_words)
+    text = F.col("_row.text")
+    lines = F.split(text, "\n", -1)
     # a line with a word has a character other than ASCII white space
     has_word = lambda x: x.rlike("[^\\x20\\x09-\\x0D]")
     rows = F.filter(F.transform(lines, lambda x, i: F.when(has_word(x), i)), lambda i: i.isNotNull())
     bad = F.transform("places", lambda p: F.get(rows, p))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), bad), lambda i: F.get(lines, i)), "\n")
-    new = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)
-    joined = keyed.join(gone, "doc", "left")
+    new = F.when(F.col("places").isNull(), text).otherwise(kept)
+    # the deletions grow with the documents, so the join is a shuffled one at every size
+    joined = keyed.join(gone.hint("merge"), "doc", "left")
     row = F.col("_row").withField("text", new)
     if "n_chars" in documents.columns:
         row = F.when(F.col("places").isNull(), F.col("_row")).otherwise(row.withField("n_chars", F.length(kept).cast(documents.schema["n_chars"].dataType)))
     counted = F.size(F.filter(lines, has_word))
-    return joined.select(row.alias("_row"), F.when(F.col("text").isNull(), 0).otherwise(counted).cast("long").alias("n_lines"),
+    return joined.select(row.alias("_row"), F.when(text.isNull(), 0).otherwise(counted).cast("long").alias("n_lines"),
                          F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("n_deleted"))
