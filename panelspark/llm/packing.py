@@ -1,10 +1,10 @@
 """Operator 10: documents packed into windows by Karmarkar-Karp multiway differencing.
 
-A document gives as many full windows as it can; its rest is cut into pieces of at most ``piece`` tokens. Pieces are
-gathered into groups of almost ``group`` windows. Differencing merges partial partitions of a group: the two with the largest
+A document gives as many full windows as it can; its rest is cut into pieces of ``piece`` tokens and what is left after those into halves, down to
+``least`` tokens, since small pieces let differencing even out the large ones. Pieces are gathered into groups of almost ``group`` windows. Differencing merges partial partitions of a group: the two with the largest
 imbalance are joined so that the large sums of one meet the small sums of the other. The windows come out nearly equal;
-whenever one exceeds the capacity, the group is differenced again into one window more. A full group lacks one
-token a window, which differencing meets with so many small pieces, so padding stays near 0.1 percent.
+whenever one exceeds the capacity, the group is differenced again into one window more. A full group lacks ``spare``
+tokens a window, about what differencing leaves uneven, so it seldom takes another try.
 No data are exchanged between tasks: a task packs the documents it reads.
 """
 
@@ -74,9 +74,9 @@ def balanced(sizes: list[int], capacity: int) -> list[int]:
 class _Packer:
     """Gathers the pieces of one task and gives out packed rows."""
 
-    def __init__(self, capacity: int, piece: int, group: int, with_ids: bool, first: int):
-        self.capacity, self.piece, self.with_ids, self.next = capacity, piece, with_ids, first
-        self.full_group = group * (capacity - 1)
+    def __init__(self, capacity: int, piece: int, least: int, group: int, spare: int, with_ids: bool, first: int):
+        self.capacity, self.piece, self.least, self.with_ids, self.next = capacity, piece, least, with_ids, first
+        self.full_group = group * (capacity - spare)
         self.waiting: list[tuple] = []
         self.tokens = 0
         self.rows: list[tuple] = []
@@ -93,7 +93,9 @@ class _Packer:
             self._row((doc_id, start, view[4 * start:4 * (start + self.capacity)], total), self.next, 0)
             self.next += 1
         while rest < total:
-            length = min(self.piece, total - rest, self.full_group - self.tokens)
+            left = total - rest
+            length = self.piece if left >= self.piece else left - left // 2 if left > self.least else left
+            length = min(length, self.full_group - self.tokens)
             self.waiting.append((doc_id, rest, view[4 * rest:4 * (rest + length)], total))
             rest, self.tokens = rest + length, self.tokens + length
             if self.tokens == self.full_group:
@@ -117,20 +119,20 @@ class _Packer:
         return record_batch(_ARROW, {f.name: [r[i] for r in rows] for i, f in enumerate(_ARROW)})
 
 
-def pack(documents: DataFrame, vocabulary: Vocabulary = BYTE_BPE, capacity: int = 1024, piece: int = 128,
-         group: int = 64, with_ids: bool = True) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: Vocabulary = BYTE_BPE, capacity: int = 1024, piece: int = 256, least: int = 16,
+         group: int = 64, spare: int = 5, with_ids: bool = True) -> DataFrame:
     """Rows of pieces: document, place in it, ids, sequence and place in the sequence.
 
     Needs the columns ``doc_id`` and ``text``; others are ignored. A null or empty text is a document with only the end id.
     Repeated rows are packed one by one, a null ``doc_id`` is kept, an empty table gives no row. A sequence shorter than
     ``capacity`` is to be padded by the reader. Sequence ids rise within a task and are unique.
     """
-    if not 0 < piece <= capacity or group < 1:
-        raise ValueError("piece must be between 1 and capacity, group at least 1")
+    if not 0 < piece <= capacity or group < 1 or least < 1 or not 0 <= spare < capacity:
+        raise ValueError("piece must be between 1 and capacity, group and least at least 1, spare below capacity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).document
-        packer = _Packer(capacity, piece, group, with_ids, TaskContext.get().partitionId() << 36)
+        packer = _Packer(capacity, piece, least, group, spare, with_ids, TaskContext.get().partitionId() << 36)
         for batch in batches:
             for doc_id, text in zip(values(batch, "doc_id"), texts(batch), strict=True):
                 packer.document(doc_id, encode(text))
