@@ -80,7 +80,7 @@ def _with_fuel(base: DataFrame, table: DataFrame | None, panel: Panel) -> DataFr
         return _nulls(base, fuel.ALL_FUELS).withColumn("has_fuel", F.lit(False))
     wide = joins.fuel_wide(table, panel, fuel.ALL_FUELS, "value_mwh")
     seen = table.select(KEY).distinct().withColumn("has_fuel", F.lit(True))
-    out = joins.align(base, panel, wide).join(small(seen), KEY, "left")
+    out = joins.align(base, panel, wide).join(small(materialize(seen)), KEY, "left")
     return out.withColumn("has_fuel", F.coalesce("has_fuel", F.lit(False)))
 
 
@@ -197,7 +197,7 @@ def feature_matrix(tables: Tables, panel: Panel = Panel(), base_year: int = spli
     if tables.coordinates is None:
         df = _nulls(df, ["lat"])
     else:
-        df = df.join(small(one_row(tables.coordinates, [KEY], ["lat"])), KEY, "left")
+        df = df.join(small(materialize(one_row(tables.coordinates, [KEY], ["lat"]))), KEY, "left")
     df = holidays.add_holidays(df, TS, (KEY,), span=history)
     df = _stress(_weather_columns(_calendar(df)))
     df = df.withColumn("fold", splits.fold_label(F.col(TS), base_year))

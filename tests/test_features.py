@@ -1,5 +1,6 @@
 """The assembled matrix against pandas, series by series."""
 
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -142,3 +143,14 @@ def test_written_and_read_back(spark, matrix, tmp_path):
     one = tables.read_features(spark, path, ["B"])
     assert one.count() == (pdf.respondent == "B").sum()
     assert "PartitionFilters: [isnotnull" in one._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [respondent" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_exchange_on_the_region_alone(spark, matrix):
+    """The wide frame must not be dealt by a handful of region keys, also where Spark would not broadcast by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = matrix[0].select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Window" in plan and not re.findall(r"hashpartitioning\(respondent#\d+, \d+\)", plan)
