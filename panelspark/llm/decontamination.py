@@ -247,5 +247,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     keyed = with_row(documents, doc_id=F.col("doc_id"), text=F.col("text"), key=F.xxhash64("text"))
     bad = materialize(judge(keyed, benchmark).where("contaminated").select("doc_id", "key").distinct())
-    match = keyed.doc_id.eqNullSafe(bad.doc_id) & (keyed.key == bad.key)
-    return row_columns(keyed.join(bad, match, "left_anti"))
+    rows = keyed.select("_row", "doc_id", "key")
+    match = rows.doc_id.eqNullSafe(bad.doc_id) & (rows.key == bad.key)
+    # the contaminated rows grow with the documents, so the join is a shuffled one at every size
+    return row_columns(rows.join(bad.hint("merge"), match, "left_anti"))

@@ -17,12 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm import golay
-from panelspark.llm.common import lowered_words, record_batch, texts
+from panelspark.llm.common import lowered_words, record_batch, row_columns, texts, with_row
 from panelspark.llm.components import components
 from panelspark.session import materialize
 
@@ -54,15 +54,14 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
     """``documents`` with ``fp`` (signed 64-bit) in place of ``text``; the other columns stay."""
     kept = [c for c in documents.columns if c != "text"]
-    fields = [documents.schema[c] for c in kept]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "fp long"])
+    schema = T.StructType([*(documents.schema[c] for c in kept), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in texts(batch)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], names=[*kept, "fp"])
 
-    return documents.mapInArrow(run, ddl)
+    return documents.mapInArrow(run, schema)
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,29 +162,17 @@ def near_duplicates(documents: DataFrame, words: int = 3) -> DataFrame:
 def deduplicate(documents: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``documents`` that stay: of each group the one with the smallest ``doc_id`` (nulls last), all columns kept.
 
-    Of rows that share an id one stays. Columns other than doc_id and text may have any name.
+    Of rows that share an id and differ in text the one with the smaller hash of the text stays, of rows that share both the one whose other columns are smaller as text.
+    Columns other than doc_id and text may have any name.
     """
-    held = materialize(_with_fingerprint(documents, words))
-    grouped = groups(held.select(F.col("doc_id"), "row_key", "fp"))
-    first = grouped.groupBy(F.coalesce("component_id", F.lit(-1)).alias("c"), F.col("component_id").isNull().alias("no_id")).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m"))
-    keep = first.select(F.col("m.row_key").alias("row_key"))
-    return held.join(keep, "row_key", "left_semi").select("_row.*")
-
-
-def _with_fingerprint(documents: DataFrame, words: int) -> DataFrame:
-    """Rows as one struct, with id, fingerprint and a key that is unique in the written table."""
-    source = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
-                              F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ddl = f"_row {source.schema['_row'].dataType.simpleString()}, doc_id long, row_key long, fp long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            found = np.array([fingerprint(t, words) for t in texts(batch)], dtype="<u8").view("<i8")
-            keys = np.arange(key, key + len(found), dtype=np.int64)
-            key += len(found)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(keys), pa.array(found)],
-                                             names=["_row", "doc_id", "row_key", "fp"])
-
-    return source.mapInArrow(run, ddl)
+    key = {"no_id": F.col("doc_id").isNull(), "number": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "kind": F.xxhash64("text")}
+    keyed = with_row(documents, **key)
+    fps = materialize(fingerprints(keyed.select(F.when(~F.col("no_id"), F.col("number")).alias("doc_id"), *key, "_row.text"), words))
+    group = (F.coalesce("component_id", F.lit(0)).alias("component"), F.col("component_id").isNull().alias("nameless"))
+    first = groups(fps).groupBy(*group).agg(F.min(F.struct(*key)).alias("m")).select("m.*")
+    # the kept rows grow with the documents, so the join is a shuffled one at every size
+    kept = keyed.join(first.hint("merge"), list(key), "left_semi")
+    # rows alike in id and text are told apart by the other columns, as text, since maps have no order
+    others = [F.col(f"_row.`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    alike = Window.partitionBy(*key).orderBy(F.struct(*others, F.lit(0)).cast("string"))
+    return row_columns(kept.withColumn("place", F.row_number().over(alike)).where("place = 1"))
