@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.nulls import finite, nan_to_null
 from panelspark.functions.scaling import CLIP
 from panelspark.operators.quantiles import ACCURACY
-from panelspark.session import stored
+from panelspark.session import ship, small, stored
 
 #: Number of the training set that holds all folds but the hold-out (the final refit).
 FINAL = 5
@@ -117,12 +117,13 @@ def _solver(group: list[str], alpha: float):
 def fit(df: DataFrame, keys: list[str], features: list[str], target: str = "demand_mw", fold: str = "fold",
         alpha: float = 1.0) -> DataFrame:
     """One row per (keys, k): medians, scales, intercept and coefficients; k = 5 is the final refit."""
+    ship(df.sparkSession)  # the functions below run in workers
     df = stored(df)
     values = {c: nan_to_null(F.col(c).cast("double")) for c in (*features, target)}
     train = training_sets(df.withColumns(values).select(*keys, fold, target, *features), target, fold)
     group = [*keys, "k"]
     scaling = stored(scaling_table(train, keys, features))
-    rows = train.join(scaling, group).select(*group, F.col(target).alias("y"), _scaled(features).alias("z"))
+    rows = train.join(small(scaling), group).select(*group, F.col(target).alias("y"), _scaled(features).alias("z"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*group).schema.fields)
     partial = rows.mapInPandas(_cross_products(group), f"{kinds}, gram array<double>")
     salted = partial.withColumn("_salt", (F.spark_partition_id() % SALT).cast("int"))

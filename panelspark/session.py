@@ -56,7 +56,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, which may be started without it; once for each application."""
+    """Send this package to the workers, which may be started without it; once for each application.
+
+    The archive is made in a folder of the driver, and Spark itself serves it to the executors.
+    """
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         here = os.path.dirname(os.path.abspath(__file__))
