@@ -30,7 +30,7 @@ class Vocabulary:
     spaced: bool = False
     lower: bool = False
     #: Chunks kept in each half of the store.
-    kept: int = 250_000
+    kept: int = 400_000
 
     @property
     def narrow(self) -> bool:
@@ -50,9 +50,21 @@ BYTE_BPE = Vocabulary("byte_bpe_50k.json", end_id=0, size=50_257, spaced=True)
 
 #: White space of the byte-level pattern: as in Python, but for the four separators U+001C to U+001F.
 _CHUNK = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+#: Letters of ASCII and Latin-1, then ASCII marks other than the apostrophe, where every tokenizer here cuts.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)?([!-&(-/:-@\[-`{-~]*)")
 _SAFE_CUT = re.compile(r"(?<=[\S\x1c-\x1f]) (?=[\S\x1c-\x1f])")
 
 
+def _byte_letters() -> str:
+    """The characters that stand for the bytes in byte-level vocabularies: printable ones for themselves, the rest in order from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return "".join(chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
@@ -63,6 +75,10 @@ class Encoder:
         self.vocabulary = vocabulary
         self.tokenizer = Tokenizer.from_file(vocabulary.path())
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the model's own store costs more than it saves on words it sees once
+        self.mark_ids: dict[str, bytes] = {}
         self.young: dict = {}
         self.old: dict = {}
         self.end = array("I", [vocabulary.end_id]).tobytes()
@@ -97,11 +113,36 @@ class Encoder:
         for chunk in [c for c in missing if c in self.old]:
             self.young[chunk] = self.old[chunk]
             missing.discard(chunk)
-        new = list(missing)
-        plain = new if self.vocabulary.spaced else [c.decode() for c in new]
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+        hard = []
+        for chunk in missing:
+            plain = _PLAIN.fullmatch(chunk if self.vocabulary.spaced else chunk.decode())
+            if plain is None:
+                hard.append(chunk)
+            else:
+                word, marks = plain.groups()
+                self.young[chunk] = (self._word(word) if word else b"") + (self._marks(marks) if marks else b"")
+        plain = hard if self.vocabulary.spaced else [c.decode() for c in hard]
+        for chunk, found in zip(hard, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
             self.young[chunk] = array("I", found.ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of letters, with the space before them, straight from the library's model: there is nothing to fold but case and nothing to cut."""
+        if self.vocabulary.lower:
+            word = word.lower()
+        key = word if self.vocabulary.spaced else word.encode()
+        found = self.young.get(key) or self.old.get(key)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+        return found
+
+    def _marks(self, marks: str) -> bytes:
+        found = self.mark_ids.get(marks)
+        if found is None:
+            found = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+            if len(self.mark_ids) < 10_000:
+                self.mark_ids[marks] = found
+        return found
+
 
 def _spaced_slices(text: str) -> Iterator[str]:
     start = 0
