@@ -1,0 +1,192 @@
+"""Near copies in the pipeline: texts whose sets of word shingles have a Jaccard similarity of at least ``SIMILARITY``.
+
+A distinct text has ``TABLES`` independent 23-bit SimHash segments and as many MinHash anchors. A key is an anchor together with a Golay key (``golay``)
+of a segment. At similarity 0.8 two texts share an anchor with probability 0.8 and a Golay key of a segment (15 percent of its bits differ) in
+over half of the cases, so with 12 tables about 0.999 of such pairs share a key, and more of the closer ones. Every candidate is verified on the whole sets of
+shingle hashes.
+
+Members of a key are first compared with one of them, so a group of near copies costs as many comparisons as it has members. Members of a key that are
+not connected after ``ROUNDS`` such centres are compared pair by pair, in pairs of blocks, however many they are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelspark.llm import golay
+from panelspark.llm.common import lowered_words, record_batch, row_columns, texts, values, with_row
+from panelspark.llm.components import components
+from panelspark.session import materialize
+
+WORDS, SIMILARITY = 5, 0.8
+#: Independent 64-bit fingerprints; each gives two segments and two anchors.
+FINGERPRINTS = 6
+TABLES = 2 * FINGERPRINTS
+#: Centres a key's members are compared with before pairs are, and members of a block.
+ROUNDS, BLOCK = 2, 64
+_SEED, _CHUNK = 42, 1 << 15
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"table", i) | 1 for i in range(TABLES)], dtype=np.uint64)
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a text of fewer words is one shingle, also one without words."""
+    found, tail, any_full = [], [], False
+    for part in lowered_words(text or b""):
+        part = tail + part
+        if len(part) >= words:
+            any_full = True
+            found.append(np.array([xxhash.xxh64_intdigest(s, _SEED) for s in map(b" ".join, zip(*[part[i:] for i in range(words)], strict=False))], dtype=np.uint64))
+            part = part[len(part) - words + 1:]
+        tail = part
+    return np.unique(np.concatenate(found)) if any_full else np.array([xxhash.xxh64_intdigest(b" ".join(tail), _SEED)], dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray, i: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MULTIPLIERS[i]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and 23-bit segments of a set of hashes, one of each for every table."""
+    anchors, segments = np.zeros(TABLES, dtype=np.uint64), np.zeros(TABLES, dtype=np.int64)
+    for f in range(FINGERPRINTS):
+        mixed = _mixed(hashes, f)
+        counts = np.zeros(64, dtype=np.int64)
+        for start in range(0, len(mixed), _CHUNK):
+            counts += np.unpackbits(mixed[start:start + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.packbits(counts * 2 > len(mixed), bitorder="little").view("<u8")[0]
+        # segments go with the anchors of another fingerprint
+        at = 2 * ((f + 1) % FINGERPRINTS)
+        anchors[2 * f:2 * f + 2] = mixed.min(), mixed.max()
+        segments[at:at + 2] = int(bits) & 0x7FFFFF, int(bits) >> 32 & 0x7FFFFF
+    return anchors, segments
+
+
+def keys(anchors: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sketches, (n, TABLES) each, and the place of the sketch of each key."""
+    out, place = [], []
+    for t in range(TABLES):
+        codes = golay.keys(segments[:, t])
+        row, column = np.nonzero(codes >= 0)
+        head = _mixed(anchors[:, t] + np.uint64(t), t) & ~np.uint64(0xFFF)
+        out.append((head[row] | codes[row, column].astype(np.uint64)).view(np.int64))
+        place.append(row)
+    return np.concatenate(out), np.concatenate(place)
+
+
+def _keyed(rows: DataFrame, words: int) -> DataFrame:
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("kind").to_numpy(zero_copy_only=False)
+            found = [sketch(shingles(t, words)) for t in texts(batch)]
+            if found:
+                key, place = keys(np.array([a for a, _ in found]), np.array([s for _, s in found]))
+                yield record_batch(schema, {"key": key, "node": nodes[place]})
+
+    return rows.mapInArrow(run, "key long, node long")
+
+
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record_batch(schema, {"node": batch.column("kind"), "hashes": [shingles(t, words).tobytes() for t in texts(batch)]})
+
+    return rows.mapInArrow(run, "node long, hashes binary")
+
+
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for a, b, x, y in zip(*(values(batch, c) for c in ("a", "b", "x", "y")), strict=True):
+                n, m = len(x) // 8, len(y) // 8
+                if min(n, m) >= similarity * max(n, m) - 1e-9:
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    if both >= similarity * (n + m - both) - 1e-9:
+                        out["a"].append(a)
+                        out["b"].append(b)
+            yield record_batch(_EDGE, out)
+
+    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(open_members: DataFrame, block: int) -> DataFrame:
+    """Pairs of members of one key in different components; the members of a crowded key are in blocks, and every two blocks meet."""
+    sizes = open_members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
+    placed = open_members.join(sizes, "key").withColumn("own", own)
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for i, j, members in zip(*(values(batch, c) for c in ("i", "j", "members")), strict=True):
+                own, node, root = (np.array([m[c] for m in members], dtype=np.int64) for c in ("own", "node", "root"))
+                p, q = np.triu_indices(len(node), 1)
+                kept = (root[p] != root[q]) & ((i == j) | (own[p] != own[q]))
+                out["a"] += np.minimum(node[p], node[q])[kept].tolist()
+                out["b"] += np.maximum(node[p], node[q])[kept].tolist()
+            yield record_batch(_EDGE, out)
+
+    grouped = met.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "node", "root")).alias("members")).where(F.size("members") > 1)
+    return grouped.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
+
+
+def roots(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """``node`` and ``root`` of the texts that have a near copy. ``rows``: ``kind``, a hash that stands for the text, and ``text``."""
+    keyed = materialize(_keyed(rows, words))
+    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    shared = materialize(keyed.join(several, "key").distinct())
+    nodes = shared.select(F.col("node").alias("kind")).distinct()
+    sets = materialize(_sets(rows.join(nodes, "kind", "left_semi"), words).dropDuplicates(["node"]))
+    members, links = materialize(shared.withColumn("root", F.col("node"))), None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("order"), "node", "root")).alias("c"))
+            pairs = members.join(centre, "key").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        else:
+            pairs = _block_pairs(members, block)
+        found = materialize(_alike(pairs, sets, similarity))
+        links = found if links is None else links.union(found)
+        known = components(links)
+        if turn < ROUNDS:
+            named = shared.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+            unlike = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            members = materialize(named.join(unlike, "key"))
+    return known
+
+
+def deduplicate(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``documents`` that stay: of each group of near copies the one with the smallest ``doc_id`` (nulls last), all columns kept.
+
+    Texts without words are alike, null or not. Of rows that share an id and differ in text the one with the smaller hash of the text stays, of rows that share both the one
+    whose other columns are smaller as text. Columns other than doc_id and text may have any name.
+    """
+    key = {"no_id": F.col("doc_id").isNull(), "number": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "kind": F.xxhash64("text")}
+    keyed = with_row(documents, **key)
+    known = roots(keyed.select("kind", F.col("_row.text").alias("text")), words, similarity)
+    names = keyed.select(*key).join(known.withColumnRenamed("node", "kind"), "kind", "left")
+    first = names.groupBy(F.coalesce("root", "kind").alias("group")).agg(F.min(F.struct(*key)).alias("m")).select("m.*")
+    # the kept rows grow with the documents, so the join is a shuffled one at every size
+    kept = keyed.join(first.hint("merge"), list(key), "left_semi")
+    # rows alike in id and text are told apart by the other columns, as text, since maps have no order
+    others = [F.col(f"_row.`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    alike = Window.partitionBy(*key).orderBy(F.struct(*others, F.lit(0)).cast("string"))
+    return row_columns(kept.withColumn("place", F.row_number().over(alike)).where("place = 1"))

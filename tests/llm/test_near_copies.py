@@ -1,0 +1,60 @@
+"""Near copies against all pairs of texts by exact Jaccard similarity."""
+
+import random
+
+from test_simhash import roots
+
+from panelspark.llm import near_copies as nc
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def similar_pairs(rows):
+    sets = {d: shingle_set(t) for d, t in rows}
+    ids = sorted(sets)
+    return [(a, b) for i, b in enumerate(ids) for a in ids[:i] if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b]))
+            and (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def edited(rnd, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[rnd.randrange(len(words))] = f"new{rnd.randrange(10**6)}"
+    return words
+
+
+def made(seed, families, copies):
+    rnd, rows = random.Random(seed), []
+    for _ in range(families):
+        base = [f"w{rnd.randrange(500)}" for _ in range(rnd.randrange(60, 400))]
+        rows.append(" ".join(base))
+        rows += [" ".join(edited(rnd, base, max(1, len(base) * rnd.randrange(1, 5) // 150))) for _ in range(copies)]
+    rnd.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def survivors(df):
+    return sorted(r.doc_id for r in nc.deduplicate(df).collect())
+
+
+def test_edits_spread_over_the_text(docs):
+    rows = made(1, 80, 2) + [(1000, "A b c"), (1001, "a  B c"), (1002, ""), (1003, None), (1004, "a b c d")]
+    root = roots([d for d, _ in rows], similar_pairs(rows))
+    assert survivors(docs(rows)) == sorted(set(root.values())) and len(set(root.values())) < len(rows) - 60
+
+
+def test_crowded_keys(docs, spark):
+    """More members of a key than a block has, of which many are not similar to the first."""
+    rows = made(2, 1, 150) + [(2000 + d, t) for d, t in made(3, 2, 20)]
+    root = roots([d for d, _ in rows], similar_pairs(rows))
+    assert survivors(docs(rows)) == sorted(set(root.values()))
+
+
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    root = roots([d for d, _ in rows], similar_pairs(rows))
+    assert survivors(df) == sorted(set(root.values()))
