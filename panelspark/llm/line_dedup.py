@@ -1,18 +1,19 @@
-"""Operator 7: passages that repeat an earlier document, found by pairwise patience alignment.
-
-A line that stands once in its document is a link to the first document that has it (the smallest id). Two documents overlap if
-they have such links; a line has one link however many documents have it, so nothing grows with the square of a group and no
-frequency is capped: a rare line and a common one cost the same. Each pair is aligned by patience diff: of its links, which are unique
-in both, the longest run that rises in both documents is kept. An aligned line also takes in the line before and after it where these are equal in
-both, which closes gaps left by lines that have their first document elsewhere. Aligned lines that follow each other in both documents are a
-block; blocks of at least ``min_words`` words are deleted from the later document.
+"""Operator 7: passages that repeat an earlier document, line by line.
+
+A passage is a run of consecutive lines with a word, of at least ``min_words`` words. A line is deleted exactly if it lies in a passage that some earlier document
+holds verbatim, whichever document that is, wherever it stands there and however often it or its lines occur.
+
+From every line starts a shortest passage, and at every line one ends; both depend on the lines in them alone, so two documents that share a
+passage share these (``windows``). They also cover it: of a line in a shared passage either what starts there fits in, or what ends there, or what starts with the
+passage reaches over it. So it is enough to know the first document that has each window: each shared passage has its own first holder, no
+pairs of documents are formed, and the rows grow with the lines. A document aligned with all earlier ones gives the same lines.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -24,43 +25,45 @@ from panelspark.session import materialize
 
 MIN_WORDS = 50
 
-_LINES = pa.schema([("line", pa.binary()), ("doc", pa.binary()), ("place", pa.int32()), ("row", pa.int32()), ("n", pa.int32()),
-                    ("before", pa.int64()), ("after", pa.int64()), ("n_before", pa.int32()), ("n_after", pa.int32())])
-_LINES_DDL = "line binary, doc binary, place int, row int, n int, before long, after long, n_before int, n_after int"
+_WINDOWS = pa.schema([("window", pa.binary()), ("doc", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
+_WINDOWS_DDL = "window binary, doc binary, start int, stop int"
 
 
 def _hash(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
-def link_rows(text: bytes) -> list[tuple]:
-    """(hash, place, row, words, hashes and words of the lines before and after) of the lines with a word that stand once in a text.
-
-    ``place`` counts the lines with a word, ``row`` all lines.
-    """
-    lines = [(row, line, len(line.split())) for row, line in enumerate(text.split(b"\n"))]
-    lines = [(row, _hash(line), n) for row, line, n in lines if n]
-    times = Counter(h for _, h, _ in lines)
-    counts = [0, *(n for _, _, n in lines), 0]
-    short = [0, *(int.from_bytes(h[:8], "little", signed=True) or 1 for _, h, _ in lines), 0]
-    return [(h, place, row, n, short[place], short[place + 2], counts[place], counts[place + 2]) for place, (row, h, n) in enumerate(lines) if times[h] == 1]
+def windows(text: bytes, min_words: int) -> list[tuple[bytes, int, int]]:
+    """(hash, first place, place after the last) of the shortest passages from every line and up to every line; places count the lines with a word."""
+    lines = [(line, n) for line in text.split(b"\n") if (n := len(line.split()))]
+    hashes = b"".join(_hash(line) for line, _ in lines)
+    sums = [0, *accumulate(n for _, n in lines)]
+    spans = set()
+    for place in range(len(lines)):
+        stop = bisect_left(sums, sums[place] + min_words, place + 1)
+        if stop < len(sums):
+            spans.add((place, stop))
+        start = bisect_right(sums, sums[place + 1] - min_words, 0, place + 1) - 1
+        if start >= 0:
+            spans.add((start, place + 1))
+    return [(_hash(hashes[16 * a:16 * b]), a, b) for a, b in sorted(spans)]
 
 
-def _lines(documents: DataFrame) -> DataFrame:
+def _windows(documents: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in _LINES}
+            out: dict[str, list] = {f.name: [] for f in _WINDOWS}
             for doc, text in zip(values(batch, "doc"), texts(batch), strict=True):
-                for h, *rest in link_rows(text or b""):
-                    for name, value in zip(out, (h, doc, *rest), strict=True):
+                for window, start, stop in windows(text or b"", min_words):
+                    for name, value in zip(out, (window, doc, start, stop), strict=True):
                         out[name].append(value)
-            yield record_batch(_LINES, out)
+            yield record_batch(_WINDOWS, out)
 
-    return documents.select("doc", "text").mapInArrow(run, _LINES_DDL)
+    return documents.select("doc", "text").mapInArrow(run, _WINDOWS_DDL)
 
 
 def align(links: list[tuple]) -> list[tuple[int, int]]:
-    """Patience: the longest chain of (place, earlier place) that rises in both."""
+    """Patience: the longest chain of (place, earlier place) that rises in both. For tests that compare with the alignment of one pair."""
     tops: list[int] = []
     ends: list[int] = []
     back: list[int] = []
@@ -77,51 +80,30 @@ def align(links: list[tuple]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def repeated_places(pair: list[dict], min_words: int) -> list[int]:
-    """Places of the later document in blocks of ``min_words`` words. ``pair``: its links with one earlier document."""
-    of = {(r["place"], r["first_place"]): r for r in pair}
-    matched = dict(align(list(of)))
-    words = {r["place"]: r["n"] for r in pair}
-    whole = dict(matched)
-    for i, j in matched.items():
-        r = of[i, j]
-        for step, mine, other in ((-1, "before", "first_before"), (1, "after", "first_after")):
-            if r[mine] and r[mine] == r[other]:
-                whole.setdefault(i + step, j + step)
-                words.setdefault(i + step, r[f"n_{mine}"])
+def places(spans: list[dict]) -> list[int]:
+    """The sorted places in any of the spans."""
     out: list[int] = []
-    block: list[int] = []
-    for i in [*sorted(whole), None]:
-        if block and (i is None or i != block[-1] + 1 or whole[i] != whole[block[-1]] + 1):
-            if sum(words[b] for b in block) >= min_words:
-                out += block
-            block = []
-        if i is not None:
-            block.append(i)
+    for start, stop in sorted((r["start"], r["stop"]) for r in spans):
+        out += range(max(start, out[-1] + 1) if out else start, stop)
     return out
 
 
-def _deleted(pairs: DataFrame, min_words: int) -> DataFrame:
+def _places(spans: DataFrame) -> DataFrame:
     schema = pa.schema([("doc", pa.binary()), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(doc, repeated_places(links, min_words)) for doc, links in zip(values(batch, "doc"), values(batch, "links"), strict=True)]
-            out = [(d, p) for d, p in out if p]
-            yield record_batch(schema, {"doc": [d for d, _ in out], "places": [p for _, p in out]})
+            yield record_batch(schema, {"doc": values(batch, "doc"), "places": [places(x) for x in values(batch, "spans")]})
 
-    return pairs.select("doc", "links").mapInArrow(run, "doc binary, places array<int>")
+    return spans.select("doc", "spans").mapInArrow(run, "doc binary, places array<int>")
 
 
 def repeated(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc`` and the sorted ``places`` (among its lines with a word) to delete; ``keyed`` has ``doc``, whose order is the order of documents, and ``text``."""
-    lines = materialize(_lines(keyed))
-    firsts = materialize(lines.groupBy("line").agg(F.min(F.struct("doc", "place", "before", "after")).alias("f"), F.count("*").alias("times"))
-                         .where("times > 1").select("line", F.col("f.doc").alias("first"), F.col("f.place").alias("first_place"),
-                                                    F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after")))
-    link = F.struct("place", "n", "before", "after", "n_before", "n_after", "first_place", "first_before", "first_after")
-    pairs = lines.join(firsts, "line").where("doc > first").groupBy("doc", "first").agg(F.collect_set(link).alias("links"))
-    return materialize(_deleted(pairs, min_words).groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")))
+    found = materialize(_windows(keyed, min_words))
+    firsts = materialize(found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first"))
+    spans = found.join(firsts, "window").where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return materialize(_places(spans))
 
 
 def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
