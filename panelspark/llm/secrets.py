@@ -22,6 +22,8 @@ SAMPLE, DICTIONARY, DICTIONARY_SAMPLE = 20_000, 400, 2_000
 TREES, DEPTH, SEED = 40, 8, 7
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
+#: Characters next to a candidate that are kept of a neighbouring word or of the text before it in its own word; more matters only in words without white space.
+CONTEXT = 256
 _CANDIDATE = f"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}"
 #: Words before a value that name a credential.
 _CREDENTIAL = "(?i)(token|secret|passw|pwd|api.?key|apikey|auth|credential|private|access.?key|bearer)"
@@ -29,18 +31,30 @@ _CREDENTIAL = "(?i)(token|secret|passw|pwd|api.?key|apikey|auth|credential|priva
 _EXAMPLE = "(?i)(test|example|sample|mock|fixture|doc)"
 
 
-def candidates(documents: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, path, place (of the word), value and the neighbouring words of every candidate in the whole texts.
+def every_candidate(documents: DataFrame, path: str = "source") -> DataFrame:
+    """doc_id, path, place (of the word), run (its number in the word), value, lead and the neighbouring words of every candidate in the whole texts.
 
-    A null text has none. A word with several candidate runs gives one, its first. Repeated rows each give their candidates.
+    ``lead`` is the text before the candidate in its word, from the candidate before it on. A null text has none. Repeated rows each give their candidates.
     """
     words = F.split("text", _SPACE)
     found = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= SHORTEST) & w.rlike(_CANDIDATE), i)), lambda i: i.isNotNull())
     near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    hit = F.transform(found, lambda i: F.struct(i.cast("long").alias("place"), near(i).alias("word"), near(i - 1).alias("before"), near(i - 2).alias("before2"), near(i + 1).alias("after")))
+    last = lambda c: F.right(c, F.lit(CONTEXT))
+    hit = F.transform(found, lambda i: F.struct(i.cast("long").alias("place"), near(i).alias("word"), last(near(i - 1)).alias("before"), last(near(i - 2)).alias("before2"),
+                                                F.left(near(i + 1), F.lit(CONTEXT)).alias("after")))
     split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), words.alias("w"))
-    rows = split.select("doc_id", "path", F.explode(hit).alias("h")).select("doc_id", "path", "h.*")
-    return rows.withColumn("value", F.regexp_extract("word", _CANDIDATE, 0))
+    kept = ["doc_id", "path", "place", "before", "before2", "after"]
+    rows = split.select("doc_id", "path", F.explode(hit).alias("h")).select("doc_id", "path", "h.*").select(
+        *kept, F.regexp_extract_all("word", F.lit(_CANDIDATE), F.lit(0)).alias("runs"), F.split("word", _CANDIDATE, -1).alias("between"))
+    # whole arrays are zipped, so a long word is searched once however many candidates it has
+    zipped = F.arrays_zip(F.col("runs").alias("value"), F.col("between"), F.concat(F.array(F.lit("")), "runs").alias("previous"))
+    each = rows.select(*kept, F.posexplode(zipped).alias("run", "z")).where("z.value is not null")
+    return each.select(*kept, F.col("run").cast("long").alias("run"), F.col("z.value").alias("value"), last(F.concat("z.previous", "z.between")).alias("lead"))
+
+
+def candidates(documents: DataFrame, path: str = "source") -> DataFrame:
+    """The first candidate of every word that has one; ``scan`` covers every candidate."""
+    return every_candidate(documents, path).where("run = 0")
 
 
 def dictionary(documents: DataFrame) -> list[str]:
@@ -73,9 +87,9 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "f_dictionary": covered,
         "f_path_example": flag(F.col("path").rlike(_EXAMPLE)),
         "f_path_slashes": _count(F.col("path"), "/"),
-        "f_assigned": flag(F.col("before").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_.-]+[=:]")),
-        "f_credential": flag(F.concat_ws(" ", "before2", "before", F.regexp_extract("word", "^[^=:]*[=:]", 0)).rlike(_CREDENTIAL)),
-        "f_quoted": flag(F.col("word").rlike("^[\"'].*[\"']")),
+        "f_assigned": flag(F.col("before").rlike("[=:]$") & (F.col("run") == 0) | F.col("lead").rlike("[=:][\"']*$") | v.rlike("^[A-Za-z_.-]+=")),
+        "f_credential": flag(F.concat_ws(" ", F.when(F.col("run") == 0, F.concat_ws(" ", "before2", "before")), "lead", F.regexp_extract(v, "^[^=]*=", 0)).rlike(_CREDENTIAL)),
+        "f_quoted": flag(F.col("lead").rlike("[\"']$")),
         "f_number_near": flag(F.col("before").rlike("[0-9]") | F.col("after").rlike("[0-9]")),
         "f_example_near": flag(F.concat_ws(" ", "before2", "before", "after").rlike(_EXAMPLE)),
     })
@@ -93,7 +107,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    part = F.pmod(F.xxhash64("doc_id", "place", "value"), F.lit(1_000_000)) / 1_000_000.0
+    part = F.pmod(F.xxhash64("doc_id", "place", "run", "value"), F.lit(1_000_000)) / 1_000_000.0
     share = F.when(F.col("label") == 1.0, min(1.0, sample / sizes[1.0])).otherwise(min(1.0, sample / sizes[0.0]))
     weight = {k: sum(min(x, sample) for x in sizes.values()) / (2 * min(x, sample)) for k, x in sizes.items()}
     chosen = labelled.where(part < share).withColumn("weight", F.when(F.col("label") == 1.0, weight[1.0]).otherwise(weight[0.0]))
@@ -104,18 +118,18 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
 def scan(documents: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
     """Every candidate of ``documents`` (doc_id, text and the path column; others are ignored) with ``probability`` and ``is_secret``.
 
-    ``labelled``: findings as made by ``candidates`` with ``label``; without it, findings are labelled from the corpus (``weak_labels``). Without findings of both
+    ``labelled``: findings as made by ``every_candidate`` with ``label``; without it, findings are labelled from the corpus (``weak_labels``). Without findings of both
     labels nothing is told apart and all candidates stay secrets, with probability 1. Null texts have no candidates, an empty table gives no row.
     """
     words = dictionary(documents)
-    found = materialize(features(candidates(documents, path), words))
+    found = materialize(features(every_candidate(documents, path), words))
     model = train(weak_labels(found) if labelled is None else features(labelled, words))
     if model is None:
         probability = F.lit(1.0)
         scored = found
     else:
         scored, probability = model.transform(found), vector_to_array("probability")[1]
-    return scored.select("doc_id", "path", "place", "value", probability.alias("probability"), (probability >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "path", "place", "run", "value", probability.alias("probability"), (probability >= threshold).alias("is_secret"))
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
