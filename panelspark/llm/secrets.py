@@ -2,7 +2,7 @@
 
 A candidate is a run of at least ``SHORTEST`` characters of which keys and tokens are made. Long words, numbers and paths are candidates too; the
 forest tells them apart by length, transitions between kinds of characters, coverage by a dictionary, the path of the document and the neighbouring words. The
-dictionary is learned from the corpus. The forest is trained on labelled findings, at most about ``SAMPLE`` of each label.
+dictionary is counted over the whole corpus. The forest is trained on labelled findings, at most about ``SAMPLE`` of each label.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.session import materialize
 
 SHORTEST = 16
-#: Findings of each label to train on, words of the dictionary and documents it is learned from.
-SAMPLE, DICTIONARY, DICTIONARY_SAMPLE = 20_000, 400, 2_000
+#: Findings of each label to train on, and words of each language in the dictionary.
+SAMPLE, DICTIONARY = 20_000, 400
 TREES, DEPTH, SEED = 40, 8, 7
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -57,12 +57,13 @@ def candidates(documents: DataFrame, path: str = "source") -> DataFrame:
     return every_candidate(documents, path).where("run = 0")
 
 
-def dictionary(documents: DataFrame) -> list[str]:
-    """The commonest words of three to eight letters in a sample of documents chosen by a hash, at most ``DICTIONARY``."""
-    n = documents.count()
-    part = documents.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1_000_000)) < 1_000_000 * min(1.0, DICTIONARY_SAMPLE / max(n, 1)))
-    words = part.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\b[a-z]{3,8}\\b"), F.lit(0)))).alias("w"))
-    return [r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()]
+def dictionary(documents: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The words of three to eight letters in most documents, counted over all of them: ``size`` of each language if there is a column ``lang``, else of all together."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in documents.columns else F.lit("")
+    words = documents.select(lang.alias("lang"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\b[a-z]{3,8}\\b"), F.lit(0)))).alias("w"))
+    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    return sorted({r.w for r in counts.withColumn("place", place).where(F.col("place") <= size).select("w").collect()})
 
 
 def _count(value: Column, pattern: str) -> Column:

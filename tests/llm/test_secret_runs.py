@@ -27,3 +27,10 @@ def test_every_run_of_a_word(docs):
 def test_long_text_without_spaces(docs):
     text = ",".join(f"value{i:012d}" for i in range(20_000))
     assert sc.every_candidate(docs([(1, text, "s")], "doc_id long, text string, source string")).count() == 20_000
+
+
+def test_dictionary_counts_all_documents_of_every_language(docs):
+    rows = [(i, "common words here", "en") for i in range(6_000)] + [(9_000 + i, "seltene worte", "de") for i in range(3)]
+    df = docs(rows, "doc_id long, text string, lang string")
+    assert sc.dictionary(df, 2) == ["common", "here", "seltene", "worte"]
+    assert sc.dictionary(df.drop("lang"), 5) == ["common", "here", "seltene", "words", "worte"]
