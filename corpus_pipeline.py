@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontamination, language_id, line_dedup, near_copies, packing
+from panelspark.llm import decontamination, language_id, line_dedup, packing, simhash
 from panelspark.llm.common import bounded_batches, table
 from panelspark.session import materialize, ship
 
@@ -30,9 +30,9 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies: five-word shingles, similarity of 0.8 at least."""
+    """The document with the smallest id of every group of SimHash near duplicates: three-word shingles, two bits at most."""
     _ready(spark)
-    return near_copies.deduplicate(docs)
+    return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
