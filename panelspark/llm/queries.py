@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontamination, language_id, language_model, line_dedup, oracles, packing, quality, secrets, sharding, simhash, token_files
+from panelspark.llm import decontamination, language_id, language_model, line_dedup, oracles, packing, quality, secrets, sharding, simhash, token_files, whitening
 from panelspark.llm.common import bounded_batches, run_folder, table
 from panelspark.session import ship
 
@@ -70,9 +70,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), with_ids=False)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitening components."""
+    ship(spark)
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 #: The other methods cannot be put as SQL over the tables (learned models, hashes, files, fixed-point loops); tests compare
 #: them with brute force, exact round trips and held-out accuracy.
 SQL = {"op2_quality_rules": oracles.QUALITY, "op5_decontamination": oracles.DECONTAMINATION}
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (
     op1_language_id, op2_quality_rules, op3_token_files, op4_simhash, op5_decontamination, op6_sharding, op7_line_dedup, op8_secret_scan,
-    op9_language_model, op10_packing)}
+    op9_language_model, op10_packing, op13_whitening)}
