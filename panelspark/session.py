@@ -82,7 +82,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
-def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, partition_by: tuple[str, ...] = (), codec: str | None = None) -> DataFrame:
     """Cut the lineage by writing ``df`` as Parquet in the shared folder and reading it back.
 
     Used where one frame feeds several jobs (model folds, refits). A written table survives the loss
@@ -93,12 +93,22 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if codec:
+        writer = writer.option("compression", codec)
     writer.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._is_stored = True
+    table._is_stored, table._stored_at = True, path
     return table
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote here, once no plan reads them any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` itself if it is a written table, else its written form.
 
