@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontamination, language_id, language_model, line_dedup, oracles, packing, quality, secrets, sharding, simhash, substring_dedup, token_files, whitening
+from panelspark.llm import conversation_trie, decontamination, language_id, language_model, line_dedup, oracles, packing, quality, secrets, sharding, simhash, substring_dedup, token_files, whitening
 from panelspark.llm.common import bounded_batches, run_folder, table
 from panelspark.session import ship
 
@@ -71,6 +71,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), with_ids=False)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    ship(spark)
+    bounded_batches(spark)
+    return conversation_trie.nodes(table(spark, sf_dir, "conversations")).drop("path")
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the runs of 13 words that an earlier one holds."""
     left = substring_dedup.deduplicate(_documents(spark, sf_dir))
@@ -88,5 +95,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {"op2_quality_rules": oracles.QUALITY, "op5_decontamination": oracles.DECONTAMINATION}
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (
     op1_language_id, op2_quality_rules, op3_token_files, op4_simhash, op5_decontamination, op6_sharding, op7_line_dedup, op8_secret_scan,
-    op9_language_model, op10_packing, op12_substring_dedup,
-    op13_whitening)}
+    op9_language_model, op10_packing,
+    op11_conversation_trie, op12_substring_dedup, op13_whitening)}

@@ -10,11 +10,14 @@ The automaton of a shard is made of its passages and the first document of each.
 many to stream has several groups. A stream gives, word by word, the longest run that an earlier document holds, and spans of ``window``
 words or more are removed. A broadcast of all automata to all tasks would grow with the corpus and stream each text through each of them.
 
-Copies of a text need no stream: whatever the first of them keeps, the others lose. Neither do repeated passages: the first document of each is streamed.
+Copies of a text need no stream: whatever the first of them keeps, the others lose. They are put aside first. Of repeated passages only the first document of each is
+streamed. Three bitmaps of fixed size keep most text from being exchanged: of the texts that have copies, of the shared keys, and of the texts that lose words. Each only lets
+too much through, more so with a larger corpus, and an exact step follows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +28,13 @@ from pyspark.sql import types as T
 
 from panelspark.llm.automaton import LAST, SuffixAutomaton
 from panelspark.llm.common import SLICE, record_batch, slices, texts, values, with_row
-from panelspark.session import materialize, small
+from panelspark.session import discard, materialize, small
 
 WINDOW = 13
 GRAM = 5
 #: Windows of a passage at most; longer stretches with one key are cut, which parts no window.
 PASSAGE_WINDOWS = 32
-#: Bits of the filter of shared keys (16 MB), whatever the input. With more keys it lets more unique passages through, which costs time only.
+#: Bits of each filter (16 MB), whatever the input. With more keys it lets more through, which costs time only.
 FILTER_BITS = 1 << 27
 #: Words of passages with one key beyond which its windows are dealt one by one.
 KEY_WORDS = 20_000
@@ -115,29 +118,10 @@ def passages(keys: np.ndarray, longest: int = PASSAGE_WINDOWS) -> tuple[np.ndarr
     return starts, counts
 
 
-def _base(rows: DataFrame) -> DataFrame:
-    """``doc`` (rank of the id), ``kind`` (what stands for the text) and ``text`` of the rows that have words."""
-    return rows.where("kind IS NOT NULL").select("doc", "kind", F.col("_row.text").alias("text"))
-
-
-def _shared_keys(base: DataFrame, window: int, gram: int, bits: int) -> np.ndarray:
-    """Bitmap of the keys that stand in two different texts."""
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
-        for batch in batches:
-            keys, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for kind, text in zip(values(batch, "kind"), texts(batch), strict=True):
-                found = np.unique(window_keys(hasher.words(text)[0], window, gram)).view(np.int64)
-                keys.append(found)
-                kinds.append(np.full(len(found), kind))
-            yield record_batch(schema, {"key": np.concatenate(keys), "kind": np.concatenate(kinds)})
-
-    met = base.select(F.xxhash64("kind").alias("kind"), "text").mapInArrow(run, "key long, kind long")
-    shared = met.groupBy("key").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a <> b")
-    place = F.col("key").bitwiseAND(F.lit(bits - 1))
-    maps = (shared.groupBy(F.shiftright(place, _BLOCK).alias("block"))
+def _bitmap(df: DataFrame, code: str, bits: int) -> np.ndarray:
+    """The filter of a column of codes: one bit set for each; at most ``bits`` of them reach the driver."""
+    place = F.col(code).bitwiseAND(F.lit(bits - 1))
+    maps = (df.groupBy(F.shiftright(place, _BLOCK).alias("block"))
             .agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << _BLOCK) - 1))).alias("bits")).collect())
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in maps:
@@ -146,12 +130,47 @@ def _shared_keys(base: DataFrame, window: int, gram: int, bits: int) -> np.ndarr
     return out
 
 
+def _in_bitmap(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    slot = codes.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _split_by(df: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
+    """Rows whose ``code`` is in the filter, or is not."""
+    sent = df.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(sent.value, dtype=np.uint8)
+        for batch in batches:
+            found = _in_bitmap(held, np.ascontiguousarray(batch.column("code").to_numpy(zero_copy_only=False)))
+            yield batch.filter(pa.array(found == inside))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _window_keys_of(text: bytes | None, hasher: _Hasher, window: int, gram: int) -> np.ndarray:
+    return window_keys(hasher.words(text or b"")[0], window, gram)
+
+
+def _shared_keys(different: DataFrame, window: int, gram: int, bits: int) -> np.ndarray:
+    """Filter of the keys that stand in two different texts."""
+    schema = pa.schema([("key", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for batch in batches:
+            keys = [np.unique(_window_keys_of(t, hasher, window, gram)) for t in texts(batch)]
+            yield record_batch(schema, {"key": np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)})
+
+    return _bitmap(different.select("text").mapInArrow(run, "key long").groupBy("key").count().where("count > 1"), "key", bits)
+
+
 _PASSAGE = pa.schema([("kind", pa.binary()), ("doc", pa.int64()), ("place", pa.int32()), ("windows", pa.int32()), ("key", pa.int64()), ("words", pa.binary())])
 
 
-def _passages(base: DataFrame, shared: np.ndarray, window: int, gram: int) -> DataFrame:
+def _passages(different: DataFrame, shared: np.ndarray, window: int, gram: int) -> DataFrame:
     """The passages of all texts whose key passes the filter."""
-    sent = base.sparkSession.sparkContext.broadcast(shared.tobytes())
+    sent = different.sparkSession.sparkContext.broadcast(shared.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = _Hasher(), np.frombuffer(sent.value, dtype=np.uint8)
@@ -162,9 +181,7 @@ def _passages(base: DataFrame, shared: np.ndarray, window: int, gram: int) -> Da
                 keys = window_keys(hashes, window, gram)
                 starts, counts = passages(keys)
                 keys = keys[starts]
-                slot = keys & np.uint64(8 * len(bits) - 1)
-                kept = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                for i in kept.tolist():
+                for i in np.flatnonzero(_in_bitmap(bits, keys)).tolist():
                     a, n = int(starts[i]), int(counts[i])
                     row = (kind, doc, a, n, int(keys[i].view(np.int64)), b" ".join(text[first[a]:stop[a + n + window - 2]].split()))
                     for name, value in zip(out, row, strict=True):
@@ -174,7 +191,7 @@ def _passages(base: DataFrame, shared: np.ndarray, window: int, gram: int) -> Da
                     out = {f.name: [] for f in _PASSAGE}
             yield record_batch(_PASSAGE, out)
 
-    return base.mapInArrow(run, "kind binary, doc long, place int, windows int, key long, words binary")
+    return different.select("kind", "doc", "text").mapInArrow(run, "kind binary, doc long, place int, windows int, key long, words binary")
 
 
 _UNIT = pa.schema([("passage", pa.binary()), ("offset", pa.int32()), ("first", pa.int64()), ("words", pa.binary())])
@@ -196,7 +213,7 @@ def _single_windows(crowded: DataFrame, window: int) -> DataFrame:
 
 
 def _streamed(units: DataFrame, window: int) -> DataFrame:
-    """Covered spans, counted in words of the passage, of the rows (shard, salt, passage, offset, first, words, streams) that stream."""
+    """Covered spans, counted in words of the passage, of the rows (shard, salt, passage, offset, first, words, streams) that stream; a null passage is ``words`` as a whole."""
     def stream(group: pa.Table) -> pa.Table:
         rows = list(zip(*[group.column(c).to_pylist() for c in ("passage", "offset", "first", "words", "streams")], strict=True))
         holders: dict[bytes, int] = {}
@@ -206,7 +223,7 @@ def _streamed(units: DataFrame, window: int) -> DataFrame:
         out: dict[str, list] = {f.name: [] for f in _SPAN}
         for passage, offset, first, words, streams in rows:
             for a, b in automaton.covered(words.split(), first, window) if streams else ():
-                for name, value in zip(out, (passage, offset + a, offset + b), strict=True):
+                for name, value in zip(out, (passage or hashlib.md5(words).digest(), offset + a, offset + b), strict=True):
                     out[name].append(value)
         return pa.table(out, schema=_SPAN)
 
@@ -217,44 +234,47 @@ _SPAN = pa.schema([("passage", pa.binary()), ("start", pa.int32()), ("stop", pa.
 _ROW = ("shard", "salt", "passage", "offset", "first", "words", "streams")
 
 
-def _covered(distinct: DataFrame, window: int) -> DataFrame:
-    """passage, start, stop: what the first document of each passage has in common with earlier documents."""
+def _covered(distinct: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """passage, start, stop: what the first document of each passage has in common with earlier documents; and a table to discard after use."""
     crowded = small(materialize(distinct.groupBy("key").agg(F.sum(F.col("windows") + window - 1).alias("n")).where(F.col("n") > KEY_WORDS).select("key")))
-    apart = distinct.join(crowded, "key", "left_semi")
+    apart = distinct.join(crowded, "key", "left_semi").withColumn("passage", F.unhex(F.md5("words")))
     whole = distinct.join(crowded, "key", "left_anti")
     total = whole.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
     total += window * (apart.agg(F.sum("windows")).first()[0] or 0)
     shards = -(-max(total, 1) // SHARD_WORDS)
-    whole = whole.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "passage", F.lit(0).alias("offset"), "first", "words")
-    single = _single_windows(apart, window).select(F.pmod(F.xxhash64("words"), F.lit(shards)).alias("shard"), "passage", "offset", "first", "words")
+    whole = whole.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.lit(None).cast("binary").alias("passage"), F.lit(0).alias("offset"), "first", "words")
+    single = materialize(_single_windows(apart, window).select(F.pmod(F.xxhash64("words"), F.lit(shards)).alias("shard"), "passage", "offset", "first", "words"), codec="zstd")
     sizes = small(materialize(whole.select("shard").union(single.select("shard")).groupBy("shard").agg(F.ceil(F.count("*") / STREAMED).alias("salts")).where("salts > 1")))
 
     def salted(df: DataFrame) -> DataFrame:
         many = df.join(sizes, "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
-        return many.withColumn("own", F.pmod(F.xxhash64("passage", "offset"), F.col("salts")))
+        return many.withColumn("own", F.pmod(F.xxhash64("passage", "offset", "words"), F.col("salts")))
 
     def everywhere(df: DataFrame) -> DataFrame:
         return salted(df).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
 
     # a passage is known in all groups of its shard and streams in one of them; of equal windows one row is known, and all stream
-    known = single.groupBy("shard", "words").agg(F.min("first").alias("first")).select("shard", F.lit(b"").alias("passage"), F.lit(0).alias("offset"), "first", "words")
+    known = single.groupBy("shard", "words").agg(F.min("first").alias("first")).select("shard", F.lit(None).cast("binary").alias("passage"), F.lit(0).alias("offset"), "first", "words")
     parts = [everywhere(whole).withColumn("streams", F.col("salt") == F.col("own")), everywhere(known).withColumn("streams", F.lit(False)),
              salted(single).withColumn("salt", F.col("own")).withColumn("streams", F.lit(True))]
     rows = [part.select(*_ROW) for part in parts]
-    return _streamed(rows[0].union(rows[1]).union(rows[2]), window)
+    return _streamed(rows[0].union(rows[1]).union(rows[2]), window), single
 
 
-def _removed(base: DataFrame, window: int, gram: int, filter_bits: int) -> DataFrame:
-    """kind, spans: places of removed words in the first document of every text that loses some."""
-    found = materialize(_passages(base, _shared_keys(base, window, gram, filter_bits), window, gram).withColumn("passage", F.unhex(F.md5("words"))))
-    distinct = materialize(found.groupBy("passage", "key", "windows", "words").agg(F.min("doc").alias("first")))
-    covered = _covered(distinct, window).groupBy("passage").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
-    known = distinct.select("passage", "first", F.col("windows") + F.lit(window - 1)).toDF("passage", "first", "n").join(covered, "passage", "left")
-    held = found.groupBy("kind", "place", "passage").agg(F.min("doc").alias("doc"))
+def _removed(different: DataFrame, window: int, gram: int, filter_bits: int) -> DataFrame:
+    """kind, spans: places of removed words in every one of different texts that loses some."""
+    found = materialize(_passages(different, _shared_keys(different, window, gram, filter_bits), window, gram), codec="zstd")
+    distinct = materialize(found.groupBy("words").agg(F.min("doc").alias("first"), F.max("key").alias("key"), F.max("windows").alias("windows")), codec="zstd")
+    covered, single = _covered(distinct, window)
+    covered = covered.groupBy("passage").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
+    known = distinct.select(F.unhex(F.md5("words")), "first", F.col("windows") + F.lit(window - 1)).toDF("passage", "first", "n").join(covered, "passage", "left")
     whole = F.array(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("n")).alias("stop")))
     part = F.transform("covered", lambda s: F.struct((F.col("place") + s["start"]).alias("start"), (F.col("place") + s["stop"]).alias("stop")))
-    spans = held.join(known, "passage").select("kind", F.when(F.col("doc") > F.col("first"), whole).otherwise(part).alias("spans"))
-    return spans.where("spans IS NOT NULL").groupBy("kind").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    places = found.select("kind", "doc", "place", F.unhex(F.md5("words")).alias("passage"))
+    spans = places.join(known, "passage").select("kind", F.when(F.col("doc") > F.col("first"), whole).otherwise(part).alias("spans"))
+    lost = materialize(spans.where("spans IS NOT NULL").groupBy("kind").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    discard(found, distinct, single)
+    return lost
 
 
 def _kept(text: bytes | None, repeated: bool, spans: list, window: int) -> tuple[int, int, bytes]:
@@ -282,12 +302,22 @@ def deduplicate(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, fi
     if not 1 <= gram <= window or filter_bits & (filter_bits - 1) or filter_bits < 1 << _BLOCK:
         raise ValueError("gram must be at most the window, and the bits of the filter a power of two, 32768 at least")
     rows = with_row(documents, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), kind=F.unhex(F.md5(F.col("text"))))
-    base = _base(rows)
-    spans = _removed(base, window, gram, filter_bits)
-    copied = base.groupBy("kind").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("kind", "low")
-    known = materialize(spans.join(copied, "kind", "full_outer").select(F.col("kind").alias("of"), "low", "spans"))
-    met = rows.join(known.hint("merge"), rows.kind == known.of, "left").select(
-        "_row", (F.col("doc") > F.col("low")).alias("repeated"), "spans", F.col("_row.text").alias("text"))
+    rows = rows.withColumn("code", F.xxhash64("kind"))
+    base = rows.where("kind IS NOT NULL").select("doc", "kind", "code", F.col("_row.text").alias("text"))
+    copied = materialize(base.groupBy("kind", "code").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("n > 1"))
+    copies = _bitmap(copied, "code", filter_bits)
+    first = materialize(_split_by(base, copies, True).groupBy("kind").agg(F.min("doc").alias("doc"), F.first("text").alias("text")), codec="zstd")
+    different = _split_by(base, copies, False).select("kind", "doc", "text").union(first.select("kind", "doc", "text"))
+    spans = _removed(different, window, gram, filter_bits)
+    later = copied.where("low < high").select("kind", "low")
+    known = materialize(spans.join(later, "kind", "full_outer").select("kind", "low", "spans").withColumn("code", F.xxhash64("kind")))
+    losing = _bitmap(known, "code", filter_bits)
+    discard(first, spans)
+    rows = rows.withColumn("code", F.coalesce("code", F.xxhash64(F.lit(0))))
+    met = _split_by(rows, losing, True).join(known.select(F.col("kind").alias("of"), "low", "spans").hint("merge"), F.col("kind") == F.col("of"), "left")
+    met = met.select("_row", (F.col("doc") > F.col("low")).alias("repeated"), "spans", F.col("_row.text").alias("text"))
+    whole = _split_by(rows, losing, False).select("_row", F.lit(False).alias("repeated"), F.lit(None).cast(known.schema["spans"].dataType).alias("spans"), F.col("_row.text").alias("text"))
+    met = met.union(whole)
     schema = T.StructType([met.schema["_row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
