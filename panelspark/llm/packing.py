@@ -119,7 +119,7 @@ class _Packer:
         return record_batch(_ARROW, {f.name: [r[i] for r in rows] for i, f in enumerate(_ARROW)})
 
 
-def pack(documents: DataFrame, vocabulary: Vocabulary = BYTE_BPE, capacity: int = 1024, piece: int = 256, least: int = 16,
+def pack(documents: DataFrame, vocabulary: Vocabulary = BYTE_BPE, capacity: int = 1024, piece: int = 256, least: int = 64,
          group: int = 64, spare: int = 5, with_ids: bool = True) -> DataFrame:
     """Rows of pieces: document, place in it, ids, sequence and place in the sequence.
 
