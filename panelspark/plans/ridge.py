@@ -1,9 +1,9 @@
 """Ridge regression per region for all walk-forward folds in one job.
 
-Training rows of fold f belong to every later training set, so each row is copied to the folds it trains. All
-statistics are aggregates per (region, fold): medians, spreads, and the matrix of cross products
-that the normal equations need. Each task sums its own rows with numpy; sums are merged in two salted
-steps, so no task ever holds the rows of a region. Only a (p + 2) x (p + 2) matrix per region and fold reaches the solver.
+Training rows of fold f belong to every later training set. No row is copied to these sets: medians and quartiles come from counts
+made for all sets side by side, and each task scales a row for one set after the other while it sums the cross products
+that the normal equations need. Sums are merged in two salted steps, so no task ever holds the rows of a region. Only
+a (p + 2) x (p + 2) matrix per region and fold reaches the solver.
 """
 
 from __future__ import annotations
@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import finite, nan_to_null
 from panelspark.functions.scaling import CLIP
-from panelspark.operators.quantiles import ACCURACY
-from panelspark.session import ship, small, stored
+from panelspark.operators.quantiles import unpivot
+from panelspark.operators.radix import order_statistics
+from panelspark.session import ship, stored
 
 #: Number of the training set that holds all folds but the hold-out (the final refit).
 FINAL = 5
 SALT = 64
 #: Sums a task keeps before it hands them on.
 MAX_OPEN = 256
+#: Bytes of medians and scales that may be sent to every task as one table.
+MAX_LOOKUP = 64 << 20
 
 
 def training_sets(df: DataFrame, target: str, fold: str) -> DataFrame:
@@ -33,24 +36,47 @@ def training_sets(df: DataFrame, target: str, fold: str) -> DataFrame:
     return usable.withColumn("k", F.explode(F.sequence(F.greatest(F.col(fold) + 1, F.lit(0)), F.lit(FINAL))))
 
 
-def scaling_table(train: DataFrame, keys: list[str], features: list[str], accuracy: int = ACCURACY) -> DataFrame:
-    """(keys, k, medians, scales): the median fills gaps, the spread is taken after filling.
+def scaling_table(df: DataFrame, keys: list[str], features: list[str], fold: str) -> DataFrame:
+    """(keys, k, medians, scales) of every training set: the exact median fills gaps, the spread is taken after filling.
 
-    Quantiles have a relative rank error of 1 / ``accuracy``. A feature without values gets 0 and 1.
+    A feature without values gets 0 and 1. The filled values are those present with the median put in among them, so their
+    quartiles are found by rank from the values present, and one pass counts for all sets side by side.
     """
-    group = [*keys, "k"]
+    def spots(n: Column, m: Column) -> list[tuple[Column, Column]]:
+        """(rank among the values present or null where the median stands, part beyond it) of both ends of q25, q50 and q75."""
+        out, below = [], F.floor((n - 1) / 2) + 1
+        for p in (0.25, 0.5, 0.75):
+            position = F.lit(p) * ((n if p == 0.5 else n + m) - 1)
+            for spot in (F.floor(position), F.ceil(position)):
+                rank = spot if p == 0.5 else F.when(spot < below, spot).when(spot >= below + m, spot - m)
+                out.append((rank, position - F.floor(position)))
+        return out
+
+    named = df.select(*keys, fold, *[F.col(c).cast("double").alias(str(i)) for i, c in enumerate(features)])
+    long = unpivot(named, [*keys, fold], [str(i) for i in range(len(features))], "_feature", "_value")
+    long._is_stored = True  # a projection of a written table
+    sets = [F.col(fold) < k for k in range(FINAL + 1)]
+    found = order_statistics(long, [*keys, "_feature"], "_value", lambda n, m: [rank for rank, _ in spots(n, m)], sets)
+    ends = found.groupBy(*keys, F.col("_k").alias("k"), "_feature").agg(
+        F.max("_n").alias("n"), F.max("_m").alias("m"), *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(f"x{i}") for i in range(6)])
+    beyond = [part for _, part in spots(F.col("n"), F.col("m"))]
+
+    def between(i: int, fill: Column | None = None) -> Column:
+        low, high = (F.col(f"x{j}") if fill is None else F.coalesce(f"x{j}", fill) for j in (i, i + 1))
+        return low + (high - low) * beyond[i]
 
-    def q(c: Column, p: float) -> Column:
-        return F.percentile_approx(c, F.lit(p), F.lit(accuracy))
+    ends = ends.withColumn("median", between(2))
+    ends = ends.withColumn("scale", F.coalesce(F.nullif(between(4, F.col("median")) - between(0, F.col("median")), F.lit(0.0)), F.lit(1.0)))
+    by_name = ends.groupBy(*keys, "k").agg(F.map_from_entries(F.collect_list(F.struct("_feature", F.struct("median", "scale")))).alias("_by"))
+    # Every training set with rows has a line, also where no feature has a value.
+    rows = df.groupBy(*keys, fold).agg(F.lit(1).alias("_one"))
+    present = rows.select(*keys, F.explode(F.sequence(F.greatest(F.col(fold) + 1, F.lit(0)), F.lit(FINAL))).alias("k")).distinct()
+    out = present.join(by_name, [*keys, "k"], "left")
 
-    medians = train.groupBy(*group).agg(
-        F.array(*[F.coalesce(q(F.col(c), 0.5), F.lit(0.0)) for c in features]).alias("medians"))
-    filled = train.join(medians, group)
-    spread = [
-        q(v, 0.75) - q(v, 0.25) for v in (F.coalesce(c, F.col("medians")[i]) for i, c in enumerate(features))
-    ]
-    scales = F.array(*[F.coalesce(F.nullif(s, F.lit(0.0)), F.lit(1.0)) for s in spread])
-    return filled.groupBy(*group).agg(F.first("medians").alias("medians"), scales.alias("scales"))
+    def all_of(part: str, default: float) -> Column:
+        return F.array(*[F.coalesce(F.col("_by")[str(i)][part], F.lit(default)) for i in range(len(features))])
+
+    return out.select(*keys, "k", all_of("median", 0.0).alias("medians"), all_of("scale", 1.0).alias("scales"))
 
 
 def _scaled(features: list[str]) -> Column:
@@ -62,9 +88,10 @@ def _scaled(features: list[str]) -> Column:
     return F.array(*[one(i, c) for i, c in enumerate(features)])
 
 
-def _cross_products(group: list[str]):
-    """Per task: one matrix of cross products of (1, z, y) for every group seen."""
+def _cross_products(keys: list[str], n_features: int, lookup):
+    """Per task: one matrix of cross products of (1, z, y) for every training set seen. A row is scaled for each of its sets in turn."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, names = [*keys, "k"], [f"_x{i}" for i in range(n_features)]
         open_sums: dict[tuple, np.ndarray] = {}
 
         def rows() -> pd.DataFrame:
@@ -74,12 +101,19 @@ def _cross_products(group: list[str]):
             return out
 
         for batch in batches:
-            for key, part in batch.groupby(group, sort=False):
-                z = np.vstack(part["z"].to_numpy())
-                a = np.column_stack([np.ones(len(z)), z, part["y"].to_numpy()])
-                g = a.T @ a
-                seen = open_sums.get(key)
-                open_sums[key] = g if seen is None else seen + g
+            for key, part in batch.groupby(keys, sort=False, dropna=False):
+                x, y, fold = part[names].to_numpy(float), part["_y"].to_numpy(float), part["_fold"].to_numpy()
+                missing = np.isnan(x)
+                for of_set in lookup.value[key] if lookup else part["_sets"].iloc[0]:
+                    k = of_set["k"]
+                    mine = fold < k
+                    if not mine.any():
+                        continue
+                    medians, scales = np.asarray(of_set["medians"]), np.asarray(of_set["scales"])
+                    z = np.clip((np.where(missing[mine], medians, x[mine]) - medians) / scales, -CLIP, CLIP)
+                    a = np.column_stack([np.ones(len(z)), z, y[mine]])
+                    seen = open_sums.get((*key, k))
+                    open_sums[(*key, k)] = a.T @ a if seen is None else seen + a.T @ a
             if len(open_sums) >= MAX_OPEN:
                 yield rows()
         if open_sums:
@@ -115,17 +149,31 @@ def _solver(group: list[str], alpha: float):
 
 
 def fit(df: DataFrame, keys: list[str], features: list[str], target: str = "demand_mw", fold: str = "fold",
-        alpha: float = 1.0) -> DataFrame:
-    """One row per (keys, k): medians, scales, intercept and coefficients; k = 5 is the final refit."""
+        alpha: float = 1.0, max_lookup: int = MAX_LOOKUP) -> DataFrame:
+    """One row per (keys, k): medians, scales, intercept and coefficients; k = 5 is the final refit.
+
+    Medians and scales of all sets go to the tasks as one table if its bytes stay within ``max_lookup``; a larger table is joined
+    to the rows instead. Either way a row is read once for all its training sets, and only sums are exchanged. Rows without a
+    key belong to no region.
+    """
     ship(df.sparkSession)  # the functions below run in workers
-    df = stored(df)
     values = {c: nan_to_null(F.col(c).cast("double")) for c in (*features, target)}
-    train = training_sets(df.withColumns(values).select(*keys, fold, target, *features), target, fold)
+    usable = df.withColumns(values).where(F.col(fold).between(-1, FINAL - 1) & finite(F.col(target))).dropna(subset=keys)
+    usable = stored(usable.select(*keys, fold, target, *features))
+    scaling = stored(scaling_table(usable, keys, features, fold))
+    rows = usable.select(*keys, F.col(fold).alias("_fold"), F.col(target).alias("_y"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(features)])
+    lookup = None
+    if scaling.count() * len(features) * 16 <= max_lookup:
+        table: dict[tuple, list] = {}
+        for r in scaling.collect():
+            table.setdefault(tuple(r[c] for c in keys), []).append({"k": r.k, "medians": np.array(r.medians), "scales": np.array(r.scales)})
+        lookup = df.sparkSession.sparkContext.broadcast(table)
+    else:
+        sets = scaling.groupBy(*keys).agg(F.collect_list(F.struct("k", "medians", "scales")).alias("_sets"))
+        rows = rows.join(sets, keys)
     group = [*keys, "k"]
-    scaling = stored(scaling_table(train, keys, features))
-    rows = train.join(small(scaling), group).select(*group, F.col(target).alias("y"), _scaled(features).alias("z"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*group).schema.fields)
-    partial = rows.mapInPandas(_cross_products(group), f"{kinds}, gram array<double>")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scaling.select(*group).schema.fields)
+    partial = rows.mapInPandas(_cross_products(keys, len(features), lookup), f"{kinds}, gram array<double>")
     salted = partial.withColumn("_salt", (F.spark_partition_id() % SALT).cast("int"))
     merged = salted.groupBy(*group, "_salt").applyInPandas(_merge, f"{kinds}, gram array<double>, _salt int").drop("_salt")
     solved = merged.groupBy(*group).applyInPandas(

@@ -39,6 +39,31 @@ def ridge_importance(spark: SparkSession, d: str) -> DataFrame:
     return tidy(reports.top_importance(vectors))
 
 
+def ridge_closed_form(spark: SparkSession, d: str) -> DataFrame:
+    """The model of one feature for every region and training set, where SQL can solve the normal equations."""
+    model = ridge.fit(_rows(spark, d), ["respondent"], FEATURES[2:3])
+    first = {c: F.get(f"{c}s", F.lit(0)).alias(c) for c in ("median", "scale", "coefficient")}
+    return tidy(model.select("respondent", "k", "n_train", first["median"], first["scale"], "intercept", first["coefficient"]), 3)
+
+
+RIDGE_CLOSED_FORM = f"""WITH {a.DAILY_SQL}, {a.scored_sql('daily')},
+sets AS (
+  SELECT respondent, k, demand_mw AS y, lag_168h AS x FROM scored JOIN (SELECT unnest(range(0, 6)) AS k) ON fold < k AND fold < 5
+  WHERE demand_mw IS NOT NULL),
+medians AS (SELECT respondent, k, coalesce(quantile_cont(x, 0.5), 0) AS med FROM sets GROUP BY 1, 2),
+filled AS (SELECT respondent, k, y, med, coalesce(x, med) AS v FROM sets JOIN medians USING (respondent, k)),
+spreads AS (
+  SELECT respondent, k, coalesce(nullif(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 0), 1) AS scale FROM filled GROUP BY 1, 2),
+scaled AS (
+  SELECT respondent, k, y, med, scale, greatest(-5, least(5, (v - med) / scale)) AS z FROM filled JOIN spreads USING (respondent, k)),
+means AS (SELECT respondent, k, med, scale, count(*) AS n, avg(z) AS mz, avg(y) AS my FROM scaled GROUP BY ALL),
+solved AS (
+  SELECT respondent, k, med, scale, n, mz, my, sum((z - mz) * (y - my)) / (sum((z - mz) * (z - mz)) + 1) AS beta
+  FROM scaled JOIN means USING (respondent, k, med, scale) GROUP BY ALL)
+SELECT respondent, CAST(k AS INTEGER) AS k, n AS n_train, {r('med', 3)} AS median, {r('scale', 3)} AS scale, {r('my - mz * beta', 3)} AS intercept,
+  {r('beta', 3)} AS coefficient FROM solved"""
+
+
 def _tree_scores(spark: SparkSession, d: str, key: str) -> DataFrame:
     """A model of every region and fold with the registry's parameters."""
     rows, growth = _rows(spark, d), trees.VARIANTS[key]
@@ -121,6 +146,7 @@ def training_leaderboard(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "ridge_scores": (ridge_scores, None),
     "ridge_importance": (ridge_importance, None),
+    "ridge_closed_form": (ridge_closed_form, RIDGE_CLOSED_FORM),
     "gbt_scores": (gbt_scores, None),
     "hist_gb_scores": (hist_gb_scores, None),
     "forest_scores": (forest_scores, None),

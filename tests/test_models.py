@@ -32,7 +32,9 @@ def test_ridge_equals_closed_form(panel):
         t = pdf[(pdf.respondent == r.respondent) & (pdf.fold < r.k)]
         assert r.n_train == len(t)
         x = t[FEATURES].to_numpy(float)
+        np.testing.assert_allclose(r.medians, np.nanmedian(x, axis=0), rtol=1e-12)
         x = np.where(np.isnan(x), r.medians, x)
+        np.testing.assert_allclose(r.scales, np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0), rtol=1e-9)
         z = np.clip((x - r.medians) / r.scales, -5, 5)
         zc, y = z - z.mean(0), t.demand_mw.to_numpy()
         beta = np.linalg.solve(zc.T @ zc + np.eye(len(FEATURES)), zc.T @ (y - y.mean()))
@@ -46,6 +48,28 @@ def test_ridge_equals_closed_form(panel):
     assert sum(imp.feature_importance) == pytest.approx(1)
 
 
+def test_ridge_with_scaling_joined_and_gaps_in_most_rows(spark, panel):
+    """More than half of a column missing puts the median at the quartiles; the joined table gives the same models."""
+    rare = panel.withColumn("rare", F.when(F.hour("period") % 3 == 0, F.col("gap")))
+    names = [*FEATURES, "rare"]
+    sent, joined = ({(r.respondent, r.k): r for r in ridge.fit(rare, ["respondent"], names, max_lookup=limit).collect()} for limit in (ridge.MAX_LOOKUP, 0))
+    assert sent.keys() == joined.keys() and len(sent) == 12
+    for key, r in sent.items():
+        np.testing.assert_allclose(r.coefficients, joined[key].coefficients, rtol=1e-9)
+        assert r.n_train == joined[key].n_train
+    pdf = rare.toPandas()
+    t = pdf[(pdf.respondent == "B") & (pdf.fold < 4)].rare
+    filled = t.fillna(t.median())
+    assert sent["B", 4].medians[-1] == pytest.approx(t.median(), rel=1e-12)
+    assert sent["B", 4].scales[-1] == (filled.quantile(0.75) - filled.quantile(0.25) or 1.0)
+
+
+def test_ridge_copies_no_rows(panel):
+    model = ridge.fit(panel, ["respondent"], FEATURES)
+    plan = model._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "MapInPandas" in plan
+
+
 def test_ridge_ignores_a_feature_without_values(panel):
     model = ridge.fit(panel.withColumn("empty", F.lit(None).cast("double")), ["respondent"], [*FEATURES, "empty"])
     assert all(abs(r.coefficients[-1]) < 1e-9 for r in model.collect())
