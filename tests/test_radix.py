@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import scaling
 from panelspark.operators.quantiles import exact_medians
-from panelspark.operators.radix import order_code, radix_quantiles
+from panelspark.operators.radix import order_code, order_statistics, radix_quantiles
 
 PROBS = {"q0": 0.0, "q05": 0.05, "q50": 0.5, "q95": 0.95, "q100": 1.0}
 
