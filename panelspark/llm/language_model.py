@@ -1,10 +1,13 @@
 """Operator 9: Brown class-based bigram model.
 
-P(w | v) = P(class(w) | class(v)) P(w | class(w)). The most frequent words (``clustered``) are assigned to classes by the exchange
-algorithm on their bigram counts over the whole training text; all other words, known or not, belong to a class by shape, which needs no
-lookup. So transitions are scored inside a task with two bounded broadcasts. A rare word's count is the one thing that needs the
-vocabulary of the corpus: rare words of all texts meet it in a join. A word so frequent that the join would be skewed is, by the
-bound ``frequent``, scored from the broadcast.
+P(w | v) = P(class(w) | class(v)) P(w | class(w)). Every word of the training text has a class by exchange on its bigram counts over the whole
+training text. The most frequent words (``core``) are exchanged one after the other on their bigram table; every other word, however rare, starts in a class by
+its shape and goes, in Spark, to the class of highest likelihood, if it gains enough to pay for naming that class: first the words that are broadcast
+(``frequent``), judged against the core's classes, then all others, judged against the classes of both. Only a word not met in training has no
+bigrams to go by; it goes where most words of its shape met once are.
+
+Texts are split once, into chunks of documents with a dictionary each. The vocabulary of the corpus stays a table: the rare words of all chunks meet
+their classes in a join and go back to their chunk.
 """
 
 from __future__ import annotations
@@ -13,15 +16,17 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import in_fold, lowered_words, record_batch, texts, values
-from panelspark.session import materialize
+from panelspark.session import discard, materialize
 
 #: The end of a text as a token; no word holds a space.
 END = b" "
@@ -32,13 +37,15 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 @dataclass(frozen=True)
 class Settings:
-    """``clustered``: words with a class of their own choice; ``classes``: their number; ``frequent``: words sent to the tasks; ``rounds`` of exchange; ``alpha``: added to transitions."""
+    """``clustered``: None, or only so many words get a class of their own choice, as core, and all others stay in the class of their shape; ``core``: words exchanged
+    on the driver; ``classes``: their number; ``frequent``: words sent to the tasks; ``rounds`` of exchange of the core; ``alpha``: added to transitions."""
 
-    clustered: int = 1000
+    clustered: int | None = None
     classes: int = 48
     frequent: int = 50_000
     rounds: int = 6
     alpha: float = 0.1
+    core: int = 1000
 
 
 def shape(word: bytes) -> int:
@@ -49,6 +56,10 @@ def shape(word: bytes) -> int:
     return min(3, (len(word) - 1) // 4) * 4 + (last in _LETTERS or last >= 128) * 2 + (not word.isascii())
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+
 def exchange(bigrams: np.ndarray, n_words: int, classes: int, rounds: int) -> np.ndarray:
     """The class of every unit. ``bigrams``: counts (previous, next) of units; the first ``n_words`` units move, each other one is a class by itself.
 
@@ -58,7 +69,6 @@ def exchange(bigrams: np.ndarray, n_words: int, classes: int, rounds: int) -> np
     units = len(bigrams)
     total = classes + units - n_words
     of = np.concatenate([np.arange(n_words) % classes, np.arange(classes, total)])
-    xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
     one_hot = np.zeros((units, total))
     one_hot[np.arange(units), of] = 1
     right, left = bigrams @ one_hot, bigrams.T @ one_hot  # of a unit: counts of the classes after and before it
@@ -74,13 +84,13 @@ def exchange(bigrams: np.ndarray, n_words: int, classes: int, rounds: int) -> np
             table[:, a] -= into
             table[a, a] -= self_count
             rows, columns = table[:classes], table[:, :classes].T
-            gain = (xlogx(rows + out) - xlogx(rows)).sum(axis=1) + (xlogx(columns + into) - xlogx(columns)).sum(axis=1)
+            gain = (_xlogx(rows + out) - _xlogx(rows)).sum(axis=1) + (_xlogx(columns + into) - _xlogx(columns)).sum(axis=1)
             d = np.arange(classes)
             corner = table[d, d]
-            gain += xlogx(corner + out[d] + into[d] + self_count) + xlogx(corner) - xlogx(corner + out[d]) - xlogx(corner + into[d])
+            gain += _xlogx(corner + out[d] + into[d] + self_count) + _xlogx(corner) - _xlogx(corner + out[d]) - _xlogx(corner + into[d])
             n_out, n_in = out.sum() + self_count, into.sum() + self_count
             sums_out, sums_in = rows.sum(axis=1) + into[:classes], columns.sum(axis=1) + out[:classes]
-            gain -= xlogx(sums_out + n_out) - xlogx(sums_out) + xlogx(sums_in + n_in) - xlogx(sums_in)
+            gain -= _xlogx(sums_out + n_out) - _xlogx(sums_out) + _xlogx(sums_in + n_in) - _xlogx(sums_in)
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
                 b = a
@@ -98,176 +108,438 @@ def exchange(bigrams: np.ndarray, n_words: int, classes: int, rounds: int) -> np
     return of
 
 
-def _counts(training: DataFrame, kept: int = 200_000) -> DataFrame:
-    """word, shape and c of every token of the training text."""
-    schema = pa.schema([("word", pa.binary()), ("shape", pa.int32()), ("c", pa.int64())])
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
 
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()),
+                     ("words", pa.binary()), ("shapes", pa.binary()), ("counts", pa.binary())])
+_CHUNKS_DDL = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, ids binary, words binary, shapes binary, counts binary"
+
+
+def encode(documents: DataFrame, tokens: int = 1 << 20, words: int = 200_000) -> DataFrame:
+    """Documents (columns doc_id, text and held_out) as chunks: their tokens, ends included, as numbers of the chunk's ``words``, whose ``counts`` are those of training texts.
+
+    A chunk is closed by the document that brings it to so many tokens or words. The end has number 0 and the shape ``SHAPES`` and is not in
+    ``words``, which are joined by spaces.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        key, numbers, parts, size = TaskContext.get().partitionId() << 36, _Numbers({END: 0}), [], 0
+        documents: list[tuple[int | None, bool, int]] = []
 
         def taken() -> pa.RecordBatch:
-            found = list(counts)
-            out = record_batch(schema, {"word": found, "shape": [-1 if w == END else shape(w) for w in found], "c": list(counts.values())})
-            counts.clear()
-            return out
+            doc_ids, held, lengths = zip(*documents, strict=True)
+            ids = np.concatenate(parts)
+            counts = np.bincount(ids[~np.repeat(held, lengths)], minlength=len(numbers))
+            found = list(numbers)[1:]
+            shapes = bytes([SHAPES, *map(shape, found)])
+            return record_batch(_CHUNKS, {"chunk": [key], "doc_ids": [doc_ids], "held": [held], "lengths": [lengths], "ids": [ids.tobytes()], "words": [b" ".join(found)], "shapes": [shapes],
+                                          "counts": [counts.astype(np.int64).tobytes()]})
 
         for batch in batches:
-            for text in texts(batch):
-                for part in lowered_words(text or b""):
-                    counts.update(part)
-                counts[END] += 1
-                if len(counts) > kept:
+            for doc_id, held, text in zip(values(batch, "doc_id"), values(batch, "held_out"), texts(batch), strict=True):
+                own = [np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)) for part in lowered_words(text or b"")]
+                own.append(np.zeros(1, np.int32))
+                length = sum(map(len, own))
+                parts += own
+                documents.append((doc_id, held, length))
+                size += length
+                if size >= tokens or len(numbers) >= words:
                     yield taken()
-        yield taken()
+                    key, numbers, parts, size = key + 1, _Numbers({END: 0}), [], 0
+                    documents.clear()
+        if documents:
+            yield taken()
+
+    return materialize(documents.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, _CHUNKS_DDL), codec="zstd")
+
+
+def _numbers(batch: pa.RecordBatch, i: int, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+
+
+def _listed(batch: pa.RecordBatch, i: int, name: str) -> np.ndarray:
+    return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+
+def _in_training(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return ~np.repeat(_listed(batch, i, "held").astype(bool), _listed(batch, i, "lengths"))
 
-    return training.select("text").mapInArrow(run, "word binary, shape int, c long").groupBy("word", "shape").agg(F.sum("c").alias("c"))
 
+def _words(batch: pa.RecordBatch, i: int) -> list[bytes]:
+    return [END, *batch.column("words")[i].as_py().split()]
 
-def _bigrams(training: DataFrame, words: list[bytes]) -> np.ndarray:
-    """Counts of neighbouring units: the words, the shapes of all other words and the end, which is also before the first word."""
-    number = {w: i for i, w in enumerate(words)}
-    base, units = len(words), len(words) + SHAPES + 1
-    shared = training.sparkSession.sparkContext.broadcast(number)
+
+def _looked_up(words: list[bytes], of: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(of.get, words, repeat(-1)), np.int64, len(words))
+
+
+def _units(batch: pa.RecordBatch, i: int, found: np.ndarray, base: int) -> np.ndarray:
+    """For each word of a chunk the unit found, else ``base`` and its shape."""
+    return np.where(found < 0, base + _numbers(batch, i, "shapes", np.uint8).astype(np.int64), found)
+
+
+def _counts(chunks: DataFrame) -> DataFrame:
+    """word and c of every token of the training texts."""
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                counts = _numbers(batch, i, "counts", np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_words(batch, i), pa.binary()), pa.array(counts)], schema=schema).filter(pa.array(counts > 0))
+
+    return chunks.select("words", "counts").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _pairs(chunks: DataFrame, units: int, sequences) -> np.ndarray:
+    """Counts of neighbouring units in training texts; ``sequences`` gives those of a batch's chunks. The last unit is the end, which is also before the first word."""
     schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, end, total = shared.value.get, units - 1, np.zeros(units * units, dtype=np.int64)
-        shapes: dict[bytes, int] = {}
+        total = np.zeros(units * units, dtype=np.int64)
         for batch in batches:
-            pairs = []
-            for text in texts(batch):
-                last = end
-                for part in lowered_words(text or b""):
-                    found = np.array([last, *(_unit(w, get, shapes, base) for w in part)], dtype=np.int64)
-                    pairs.append(found[:-1] * units + found[1:])
-                    last = int(found[-1])
-                pairs.append(np.array([last * units + end]))
-                if len(shapes) > 200_000:
-                    shapes.clear()
-            pair, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
-            total[pair] += n
+            for i, sequence in enumerate(sequences(batch)):
+                before = np.concatenate([[units - 1], sequence[:-1]])
+                total += np.bincount((before * units + sequence)[_in_training(batch, i)], minlength=units * units)
         used = np.flatnonzero(total)
         yield record_batch(schema, {"pair": used, "n": total[used]})
 
     out = np.zeros(units * units)
-    for r in training.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in chunks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.pair] = r.n
     return out.reshape(units, units)
 
 
-def _unit(word: bytes, get, shapes: dict[bytes, int], base: int) -> int:
-    found = get(word)
-    if found is None:
-        found = shapes.get(word)
-        if found is None:
-            found = shapes[word] = base + shape(word)
-    return found
+def _bigrams(chunks: DataFrame, unit: dict[bytes, int], base: int) -> np.ndarray:
+    """Counts of neighbouring units: those of the words in ``unit``, the shapes of all other words (from ``base``) and the end."""
+    shared = chunks.sparkSession.sparkContext.broadcast(unit)
+    sequences = lambda batch: (_units(batch, i, _looked_up(_words(batch, i), shared.value), base)[_numbers(batch, i, "ids", np.int32)] for i in range(len(batch)))
+    return _pairs(chunks.select("held", "lengths", "ids", "words", "shapes"), base + SHAPES + 1, sequences)
+
+
+_ENTRY = np.dtype([("code", "<u2"), ("n", "<u4")])
+_FOUND = pa.schema([("word", pa.binary()), ("shape", pa.int32()), ("chunk", pa.int64()), ("number", pa.int32()), ("entries", pa.binary())])
+_FOUND_DDL = "word binary, shape int, chunk long, number int, entries binary"
+
+
+def _codes(batch: pa.RecordBatch, i: int, of: np.ndarray, wanted: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the wanted words of training texts, each with codes of its contexts: the class before, the class after (plus ``classes``) or the word itself after it (twice ``classes``)."""
+    ids = _numbers(batch, i, "ids", np.int32)
+    at = np.flatnonzero(wanted[ids] & _in_training(batch, i))  # the end closes a chunk, so every word has a token after it, and goes before the first one
+    word, after, before = ids[at], ids[at + 1], ids[at - 1]
+    again, same = before == word, after == word
+    twice = np.full(int(same.sum()), 2 * classes)
+    return np.concatenate([word[~again], word[~same], word[same]]), np.concatenate([of[before[~again]], classes + of[after[~same]], twice])
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, words: np.ndarray, width: int) -> pa.Array:
+    """For each of ``words`` the counts of its codes; ``keys``, ascending, are words by ``width`` and codes."""
+    entries = np.empty(len(keys), _ENTRY)
+    entries["code"], entries["n"] = keys % width, counts
+    offsets = np.append(np.searchsorted(keys, words * width), len(keys)).astype(np.int32) * _ENTRY.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+
+
+def _frequent_contexts(chunks: DataFrame, unit: dict[bytes, int], base: int, others: list[bytes]) -> DataFrame:
+    """Contexts of ``others``, a bounded list, as counted by each task: ``number`` is the place in the list."""
+    classes, number = base + SHAPES + 1, {w: j for j, w in enumerate(others)}
+    shared = chunks.sparkSession.sparkContext.broadcast((unit, number, np.array([shape(w) for w in others], np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (unit, number, shapes), width = shared.value, 2 * classes + 1
+        total = np.zeros(len(number) * width, np.int32)
+        for batch in batches:
+            for i in range(len(batch)):
+                words = _words(batch, i)
+                place = _looked_up(words, number)
+                found, codes = _codes(batch, i, _units(batch, i, _looked_up(words, unit), base), place >= 0, classes)
+                np.add.at(total, place[found] * width + codes, np.int32(1))
+        keys = np.flatnonzero(total)
+        words = np.unique(keys // width)
+        listed = list(number)
+        yield pa.RecordBatch.from_arrays([pa.array([listed[j] for j in words], pa.binary()), pa.array(shapes[words]), pa.array(np.zeros(len(words), np.int64)), pa.array(words.astype(np.int32)),
+                                          _packed(keys, total[keys], words, width)], schema=_FOUND)
+
+    return chunks.select("held", "lengths", "ids", "words", "shapes").mapInArrow(run, _FOUND_DDL)
+
+
+def _rare_contexts(chunks: DataFrame, unit: dict[bytes, int], base: int) -> DataFrame:
+    """Contexts of all words without a unit, as counted by each chunk: ``number`` is that of the word in its chunk. Words of held-out texts alone have none."""
+    shared, classes = chunks.sparkSession.sparkContext.broadcast(unit), base + SHAPES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 * classes + 1
+        for batch in batches:
+            for i in range(len(batch)):
+                words = _words(batch, i)
+                own = _looked_up(words, shared.value)
+                wanted = own < 0
+                wanted[0] = False
+                found, codes = _codes(batch, i, _units(batch, i, own, base), wanted, classes)
+                kind = np.int32 if len(words) * width < 1 << 31 else np.int64
+                keys, n = np.unique(found.astype(kind) * kind(width) + codes.astype(kind), return_counts=True)
+                numbers = np.flatnonzero(wanted)
+                shapes = _numbers(batch, i, "shapes", np.uint8)[numbers].astype(np.int32)
+                chunk = pa.array(np.full(len(numbers), batch.column("chunk")[i].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([words[j] for j in numbers], pa.binary()), pa.array(shapes), chunk, pa.array(numbers.astype(np.int32)), _packed(keys, n, numbers, width)], schema=_FOUND)
+
+    return chunks.select("chunk", "held", "lengths", "ids", "words", "shapes").mapInArrow(run, _FOUND_DDL)
+
+
+#: Counts up to this have their gains in a table.
+_SMALL = 16
+
+
+class Gains:
+    """What the likelihood of the class bigrams gains where a word comes into a class, by the same sum as ``exchange``, for many words at once.
+
+    ``table``: counts of neighbouring classes, the words judged included; the last class is the end, into which no word comes.
+    """
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.to = table, len(table) - 1
+        self.row_sums, self.column_sums = table.sum(axis=1)[:-1], table.sum(axis=0)[:-1]
+        self.cells = {False: table[:, :-1], True: table.T[:, :-1]}  # [neighbour's class, class come into], the word after it and before it
+        steps = np.arange(_SMALL + 1)[:, None, None]
+        self.small = {after: _xlogx(cells + steps) - _xlogx(cells) for after, cells in self.cells.items()}
+
+    def _sum(self, counts: np.ndarray, after: bool) -> np.ndarray:
+        word, a = np.nonzero(counts)
+        n = counts[word, a].astype(np.int64)
+        out = np.zeros((len(counts), self.to))
+        if len(word):
+            gain = self.small[after][np.minimum(n, _SMALL), a]
+            if len(large := np.flatnonzero(n > _SMALL)):
+                cells = self.cells[after][a[large]]
+                gain[large] = _xlogx(cells + n[large, None]) - _xlogx(cells)
+            present, starts = np.unique(word, return_index=True)
+            out[present] = np.add.reduceat(gain, starts, axis=0)
+        return out
+
+    def _shifted(self, gain: np.ndarray, cells: np.ndarray, own: np.ndarray, here: np.ndarray, there: np.ndarray) -> None:
+        """Where the neighbour's class is the word's own, the cell without the word counts."""
+        w, b = np.nonzero((here[np.arange(len(own)), own] > 0)[:, None] & (there[:, :-1] > 0))
+        cell, less, more = cells[own[w], b], there[w, b], here[w, own[w]]
+        gain[w, b] += _xlogx(cell - less + more) - _xlogx(cell - less) - _xlogx(cell + more) + _xlogx(cell)
+
+    def of(self, own: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """(words, classes): ``own``: the words' present classes; ``contexts``: (words, 2 classes + 1) counts as ``_contexts`` codes them."""
+        classes, words = len(self.table), np.arange(len(own))
+        into, out, twice = contexts[:, :classes], contexts[:, classes:2 * classes], contexts[:, 2 * classes]
+        gain = self._sum(into, False) + self._sum(out, True)
+        self._shifted(gain, self.cells[False], own, into, out)
+        self._shifted(gain, self.cells[True], own, out, into)
+        corner = np.diag(self.table)
+        w, b = np.nonzero((into[:, :-1] > 0) & (out[:, :-1] > 0) | (twice > 0)[:, None])
+        i, o, cell = into[w, b], out[w, b], corner[b]
+        gain[w, b] += _xlogx(cell + i + o + twice[w]) + _xlogx(cell) - _xlogx(cell + i) - _xlogx(cell + o)
+        count, which = np.unique(into.sum(axis=1) + twice, return_inverse=True)
+        for sums in (self.row_sums, self.column_sums):
+            gain -= (_xlogx(sums + count[:, None]) - _xlogx(sums))[which]
+        gain[words, own] = self._staying(own, into, out, twice, count[which])
+        return gain
+
+    def _staying(self, own: np.ndarray, into: np.ndarray, out: np.ndarray, twice: np.ndarray, count: np.ndarray) -> np.ndarray:
+        words, total = np.arange(len(own)), np.zeros(len(own))
+        for counts, cells in ((into, self.table.T), (out, self.table)):
+            w, a = np.nonzero(counts)
+            w, a = w[a != own[w]], a[a != own[w]]
+            cell = cells[own[w], a]
+            total += np.bincount(w, _xlogx(cell) - _xlogx(cell - counts[w, a]), len(own))
+        corner = self.table[own, own]
+        total += _xlogx(corner) - _xlogx(corner - into[words, own] - out[words, own] - twice)
+        for sums in (self.row_sums[own], self.column_sums[own]):
+            total -= _xlogx(sums) - _xlogx(sums - count)
+        return total
+
+    def best(self, own: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The core's class of highest gain; the present one if no other gains more by the logarithm of the number of choices, which is what naming a class costs.
+
+        Many words are judged by the same table, so a class without words is no choice: each would find itself alone there.
+        """
+        choices = np.flatnonzero(self.row_sums[:self.to - SHAPES] > 0)
+        if not len(choices):
+            return own
+        gain, words = self.of(own, contexts), np.arange(len(own))
+        best = choices[gain[:, choices].argmax(axis=1)]
+        return np.where(gain[words, best] <= gain[words, own] + math.log(len(choices) + 1), own, best)
+
+
+_PLACED = pa.schema([("chunk", pa.int64()), ("number", pa.int32()), ("shape", pa.int32()), ("c", pa.int64()), ("class", pa.int32()), ("first", pa.bool_())])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in the order of their words as batches that part no word, with the first row of each word."""
+    kept: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.RecordBatch, np.ndarray]:
+        batch = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        words = batch.column("word")
+        return batch, np.append(0, 1 + np.flatnonzero(np.asarray(pc.not_equal(words[1:], words[:-1]))))
+
+    for batch in batches:
+        if len(batch):
+            kept.append(batch)
+        if sum(map(len, kept)) >= rows:
+            batch, starts = joined()
+            if len(starts) > 1:
+                yield batch.slice(0, starts[-1]), starts[:-1]
+            kept = [batch.slice(starts[-1])]
+    if kept:
+        yield joined()
+
+
+def _placed(contexts: DataFrame, table: np.ndarray, move: bool) -> DataFrame:
+    """The training count and class of the word of each row; ``first`` is true in one row of each word.
+
+    All rows of a word meet in a task. Its class is that of highest likelihood by all its contexts, or that of its shape if words may not ``move``.
+    """
+    shared, classes = contexts.sparkSession.sparkContext.broadcast(table), len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains, width = Gains(shared.value), 2 * classes + 1
+        for batch, starts in _runs(batches):
+            rows = np.diff(np.append(starts, len(batch)))
+            packed = batch.column("entries")
+            word = np.repeat(np.repeat(np.arange(len(starts)), rows), np.asarray(pc.binary_length(packed)) // _ENTRY.itemsize)
+            entries = np.frombuffer(b"".join(packed.to_pylist()), _ENTRY)
+            found = np.bincount(word * width + entries["code"], entries["n"], len(starts) * width).reshape(-1, width)
+            own = classes - SHAPES - 1 + np.asarray(batch.column("shape"))[starts]
+            best = (gains.best(own, found) if move else own).astype(np.int32)
+            c = (found[:, :classes].sum(axis=1) + found[:, -1]).astype(np.int64)
+            first = np.zeros(len(batch), bool)
+            first[starts] = True
+            columns = [batch.column("chunk"), batch.column("number"), batch.column("shape"), *(pa.array(np.repeat(x, rows)) for x in (c, best)), pa.array(first)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_PLACED)
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, number int, shape int, c long, class int, first boolean").where("c > 0")
 
 
 @dataclass
 class Model:
-    """``classes``: the class of each clustered word; ``transition``: log10 P(class | class before), the last class is the end; ``words``: for frequent words their class, log10 P(word | class) and base score; ``mass``: of a
-    shape class the tokens and words outside the clustered ones."""
+    """``words``: class and count of each frequent word; ``rest``: a table of the same for all others, by chunk and number there; ``mass``: tokens and words of each class; ``home``: by shape, the class of words not met
+    in training; ``n_classes``: the last class is the end; ``ends``: its count; ``alpha``: added to transitions."""
 
-    classes: dict[bytes, int]
-    transition: np.ndarray
-    words: dict[bytes, tuple[int, float, float]]
+    words: dict[bytes, tuple[int, int]]
+    rest: DataFrame
     mass: dict[int, tuple[int, int]]
-    first_shape: int
+    home: list[int]
+    n_classes: int
     tokens: int
     vocabulary: int
-    counts: DataFrame
-
-
-def train(training: DataFrame, settings: Settings = Settings()) -> Model:
-    """A model of the texts in ``training``. The vocabulary stays a table; what reaches the driver is bounded by the settings."""
-    counts = materialize(_counts(training))
-    tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r.word), r.c) for r in counts.where("shape >= 0").orderBy(F.desc("c"), "word").limit(settings.frequent).collect()]
-    clustered = [w for w, _ in top[:settings.clustered]]
-    bigrams = _bigrams(training, clustered)
-    of = exchange(bigrams, len(clustered), min(settings.classes, max(1, len(clustered))), settings.rounds)
+    ends: int
+    alpha: float
+
+
+def train(chunks: DataFrame, settings: Settings = Settings()) -> Model:
+    """A model of the training texts in ``chunks``. The vocabulary stays a table; what reaches the driver is bounded by the settings."""
+    counts = materialize(_counts(chunks))
+    tokens, vocabulary, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
+    top = {bytes(r.word): r.c for r in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(max(settings.frequent, settings.clustered or 0)).collect()}
+    discard(counts)
+    move = settings.clustered is None
+    core = list(top)[:settings.core if move else settings.clustered]
+    bigrams = _bigrams(chunks, {w: i for i, w in enumerate(core)}, len(core))
+    of = exchange(bigrams, len(core), min(settings.classes, max(1, len(core))), settings.rounds)
     n_classes = int(of[-1]) + 1
     first_shape = n_classes - SHAPES - 1
     table = np.zeros((n_classes, n_classes))
     np.add.at(table, (of[:, None], of[None, :]), bigrams)
-    transition = np.log10((table + settings.alpha) / (table.sum(axis=1, keepdims=True) + settings.alpha * n_classes))
-    class_of = {w: int(c) for w, c in zip(clustered, of, strict=False)}
-    mass = {first_shape + r["shape"]: [r.c, r.n] for r in counts.where("shape >= 0").groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
-    for w, c in top[:settings.clustered]:
-        own = mass[first_shape + shape(w)]
-        mass[first_shape + shape(w)] = [own[0] - c, own[1] - 1]
-        into = mass.setdefault(class_of[w], [0, 0])
-        mass[class_of[w]] = [into[0] + c, into[1] + 1]
-    words = {}
-    for w, c in top:
-        k = class_of.get(w, first_shape + shape(w))
-        n, v = mass[k]
-        clustered_class = k < first_shape
-        words[w] = (k, math.log10(c / n) if clustered_class else math.log10((c + 1) / (n + v + 1)), math.log10((c + 1) / (tokens + vocabulary + 1)))
-    return Model(class_of, transition, words, {k: (n, v) for k, (n, v) in mass.items()}, first_shape, tokens, vocabulary, counts)
-
-
-_PARTS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                    ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("shape", pa.int32()), ("tf", pa.int64())])
-_PARTS_DDL = "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, shape int, tf long"
-
-
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """A row for each document (columns doc_id, text and held_out): n_tokens, n_known, train_tokens, base_score, score.
-
-    A word not met in training has the share of one unseen word of its shape class. A clustered word takes its share of its class's tokens.
+    class_of = {w: int(c) for w, c in zip(core, of, strict=False)}
+    others = [w for w in top if w not in class_of]
+    if move and others:
+        placed = _placed(_frequent_contexts(chunks, class_of, first_shape, others), table, True).where("first").select("number", "class").collect()
+        class_of |= {others[r.number]: r["class"] for r in placed}
+        table = _bigrams(chunks, class_of, first_shape)
+    else:
+        class_of |= {w: first_shape + shape(w) for w in others}
+    rest = materialize(_placed(_rare_contexts(chunks, class_of, first_shape), table, move))
+    tally: dict[int, Counter] = {}  # by class: tokens, words
+    once: Counter = Counter()  # by shape and class: words met once
+    for r in rest.where("first").groupBy("shape", "class").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        tally.setdefault(r["class"], Counter()).update(tokens=r.c, words=r.n)
+        once[r["shape"], r["class"]] += r.once
+    for w, c in top.items():
+        tally.setdefault(class_of[w], Counter()).update(tokens=c, words=1)
+        once[shape(w), class_of[w]] += c == 1
+    home = [first_shape + s for s in range(SHAPES)]
+    if move:
+        for s in range(SHAPES):
+            most = max(range(n_classes - 1), key=lambda k: (once[s, k], -k))
+            home[s] = most if once[s, most] else home[s]
+    mass = {k: (n["tokens"], n["words"]) for k, n in tally.items()}
+    return Model({w: (class_of[w], c) for w, c in top.items()}, rest, mass, home, n_classes, tokens, vocabulary, ends, settings.alpha)
+
+
+_CLASSED_DDL = "doc_ids array<long>, held array<boolean>, lengths array<long>, known array<long>, base array<double>, emitted array<double>, classes binary"
+_CLASSED = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())),
+                      ("emitted", pa.list_(pa.float64())), ("classes", pa.binary())])
+
+
+def _classed(chunks: DataFrame, model: Model) -> DataFrame:
+    """The chunks with the classes of all their tokens, and for each document n_known, the base score and the sum of the words' shares of their classes."""
+    spark = chunks.sparkSession
+    total, n_classes = model.tokens + model.vocabulary + 1, model.n_classes
+    tokens, words = (np.array([model.mass.get(k, (0, 0))[j] for k in range(n_classes)], float) for j in (0, 1))
+    shared = spark.sparkContext.broadcast(({w: j for j, w in enumerate(model.words)}, np.array(list(model.words.values()), np.int64).reshape(-1, 2).T))
+    open_classes, home, ends = np.isin(np.arange(n_classes), model.home), np.array([*model.home, n_classes - 1]), model.ends
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, frequent = shared.value
+        for batch in batches:
+            for i in range(len(batch)):
+                found = _looked_up(_words(batch, i), place)
+                of, c = home[_numbers(batch, i, "shapes", np.uint8)], np.zeros(len(found), np.int64)
+                own = found >= 0
+                of[own], c[own] = frequent[:, found[own]]
+                if (answers := batch.column("answers")[i].values) is not None:
+                    number = np.asarray(answers.field("number"))
+                    of[number], c[number] = np.asarray(answers.field("class")), np.asarray(answers.field("c"))
+                c[0] = ends
+                with np.errstate(divide="ignore"):
+                    share = np.where(open_classes[of], (c + 1) / (tokens[of] + words[of] + 1), c / np.maximum(tokens[of], 1))
+                    share[0] = 1
+                    share, base = np.log10(share), np.log10((c + 1) / total)
+                ids, lengths = _numbers(batch, i, "ids", np.int32), _listed(batch, i, "lengths")
+                starts = np.cumsum(lengths) - lengths
+                sums = lambda x: [np.add.reduceat(x[ids], starts)]
+                yield record_batch(_CLASSED, {**{x: [batch.column(x)[i].as_py()] for x in ("doc_ids", "held", "lengths")}, "known": sums((c > 0).astype(np.int64)), "base": sums(base), "emitted": sums(share),
+                                              "classes": [of[ids].astype(np.uint16).tobytes()]})
+
+    answers = model.rest.groupBy("chunk").agg(F.collect_list(F.struct("number", "class", "c")).alias("answers"))
+    joined = chunks.join(answers, "chunk", "left").select("doc_ids", "held", "lengths", "ids", "words", "shapes", "answers")
+    return materialize(joined.mapInArrow(run, _CLASSED_DDL), codec="zstd")
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def score(chunks: DataFrame, model: Model) -> DataFrame:
+    """A row for each document: n_tokens, n_known, train_tokens, base_score, score.
+
+    A word takes its share of its class's tokens. A word not met in training has the share of one unseen word of the class it goes to.
     """
-    spark = documents.sparkSession
-    end_count = model.counts.where(F.col("shape") == -1).first()
-    tokens, vocabulary = model.tokens, model.vocabulary
-    end_base = math.log10(((end_count.c if end_count else 0) + 1) / (tokens + vocabulary + 1))
-    shared = spark.sparkContext.broadcast((model.words, model.transition))
-    end_class, first_shape, end_known = len(model.transition) - 1, model.first_shape, bool(end_count)
+    classed = _classed(chunks, model)
+    units, sequence = model.n_classes, lambda batch, i: _numbers(batch, i, "classes", np.uint16).astype(np.int64)
+    table = _pairs(classed.select("held", "lengths", "classes"), units, lambda batch: (sequence(batch, i) for i in range(len(batch))))
+    transition = np.log10((table + model.alpha) / (table.sum(axis=1, keepdims=True) + model.alpha * units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, transition = shared.value
-        get, key = words.get, TaskContext.get().partitionId() << 36
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in _PARTS}
-
-            def add(*row) -> None:
-                for name, value in zip(out, row, strict=True):
-                    out[name].append(value)
-
-            for doc_id, held_out, text in zip(values(batch, "doc_id"), values(batch, "held_out"), texts(batch), strict=True):
-                last, n, known, base, total = end_class, 1, int(end_known), end_base, 0.0
-                rare: Counter = Counter()
-                for part in lowered_words(text or b""):
-                    found = list(map(get, part))
-                    unknown = [w for w, x in zip(part, found, strict=True) if x is None]
-                    rare.update(unknown)
-                    classes = np.array([last, *(first_shape + shape(w) if x is None else x[0] for w, x in zip(part, found, strict=True))])
-                    n, known = n + len(part), known + len(part) - len(unknown)
-                    total += transition[classes[:-1], classes[1:]].sum() + sum(x[1] for x in found if x is not None)
-                    base += sum(x[2] for x in found if x is not None)
-                    last = int(classes[-1])
-                total += transition[last, end_class]
-                add(key, doc_id, held_out, n, known, base, float(total), None, None, None)
-                for w, tf in rare.items():
-                    add(key, None, None, None, None, None, None, w, shape(w), tf)
-                key += 1
-            yield record_batch(_PARTS, out)
-
-    parts = materialize(documents.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, _PARTS_DDL))
-    masses = [(s, *model.mass.get(first_shape + s, (0, 0))) for s in range(SHAPES)]
-    below = F.broadcast(spark.createDataFrame([(s, float(n + v + 1)) for s, n, v in masses], "shape int, below double"))
-    c = F.coalesce("c", F.lit(0))
-    rare = parts.where("word is not null").select("row_key", "word", "shape", "tf")
-    counted = rare.join(model.counts.select("word", "c"), "word", "left").join(below, "shape").groupBy("row_key").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(tokens + vocabulary + 1)))).alias("base"),
-        F.sum(F.col("tf") * F.log10((c + 1) / F.col("below"))).alias("score"))
-    zero = lambda name, value: F.coalesce(F.col(name), F.lit(value))
-    more = counted.select("row_key", *[F.col(x).alias(f"more_{x}") for x in ("n_known", "base", "score")])
-    return parts.where("word is null").select("row_key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(more, "row_key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_n_known", 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base", 0.0)).alias("base_score"), (F.col("score") + zero("more_score", 0.0)).alias("score"))
+            for i in range(len(batch)):
+                of, lengths = sequence(batch, i), _listed(batch, i, "lengths")
+                moves = transition[np.concatenate([[units - 1], of[:-1]]), of]
+                column = lambda name: batch.column(name)[i].values
+                scores = np.add.reduceat(moves, np.cumsum(lengths) - lengths) + _listed(batch, i, "emitted")
+                yield pa.RecordBatch.from_arrays([column("doc_ids"), column("held"), column("lengths"), column("known"), column("base"), pa.array(scores)], schema=_SCORES)
+
+    scored = classed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity_scores(documents: DataFrame, folds: int = 7, rest: int = 2, settings: Settings = Settings()) -> DataFrame:
@@ -276,5 +548,8 @@ def perplexity_scores(documents: DataFrame, folds: int = 7, rest: int = 2, setti
     Needs doc_id and text; others are ignored. A null text is the empty text, which has one token, the end. A null id is in no fold and is learned
     from. Repeated rows each count and each give a row. With no training document all tokens are unknown. An empty table gives no row.
     """
-    marked = documents.select("doc_id", "text", in_fold("doc_id", folds, rest).alias("held_out"))
-    return score(marked, train(marked.where(~F.col("held_out")), settings))
+    chunks = encode(documents.select("doc_id", "text", in_fold("doc_id", folds, rest).alias("held_out")))
+    model = train(chunks, settings)
+    scored = score(chunks, model)
+    discard(chunks, model.rest)
+    return scored
