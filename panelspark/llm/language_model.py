@@ -476,44 +476,69 @@ def train(chunks: DataFrame, settings: Settings = Settings()) -> Model:
     return Model({w: (class_of[w], c) for w, c in top.items()}, rest, mass, home, n_classes, tokens, vocabulary, ends, settings.alpha)
 
 
+_FIELDS = [("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())),
+           ("emitted", pa.list_(pa.float64())), ("classes", pa.binary())]
+_CLASSED = pa.schema(_FIELDS)
 _CLASSED_DDL = "doc_ids array<long>, held array<boolean>, lengths array<long>, known array<long>, base array<double>, emitted array<double>, classes binary"
-_CLASSED = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())),
-                      ("emitted", pa.list_(pa.float64())), ("classes", pa.binary())])
+_PARTLY = pa.schema([("chunk", pa.int64()), *_FIELDS, ("rare", pa.binary()), ("shapes", pa.binary())])
+#: In the place of a class not yet known.
+_OPEN = 65_535
 
 
 def _classed(chunks: DataFrame, model: Model) -> DataFrame:
-    """The chunks with the classes of all their tokens, and for each document n_known, the base score and the sum of the words' shares of their classes."""
+    """The chunks with the classes of all their tokens, and for each document n_known, the base score and the sum of the logarithms of the words' shares of their classes.
+
+    Frequent words are looked up before the join, so that only classes and the numbers of rare words are exchanged, not the words.
+    """
     spark = chunks.sparkSession
     total, n_classes = model.tokens + model.vocabulary + 1, model.n_classes
     tokens, words = (np.array([model.mass.get(k, (0, 0))[j] for k in range(n_classes)], float) for j in (0, 1))
     shared = spark.sparkContext.broadcast(({w: j for j, w in enumerate(model.words)}, np.array(list(model.words.values()), np.int64).reshape(-1, 2).T))
     open_classes, home, ends = np.isin(np.arange(n_classes), model.home), np.array([*model.home, n_classes - 1]), model.ends
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def logs(of: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(divide="ignore"):
+            return np.log10((c + 1) / total), np.log10(np.where(open_classes[of], (c + 1) / (tokens[of] + words[of] + 1), c / np.maximum(tokens[of], 1)))
+
+    def frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, frequent = shared.value
         for batch in batches:
             for i in range(len(batch)):
                 found = _looked_up(_words(batch, i), place)
-                of, c = home[_numbers(batch, i, "shapes", np.uint8)], np.zeros(len(found), np.int64)
+                of, c = np.full(len(found), _OPEN), np.zeros(len(found), np.int64)
                 own = found >= 0
                 of[own], c[own] = frequent[:, found[own]]
+                of[0], c[0] = n_classes - 1, ends
+                known, base, share = np.zeros((3, len(found)))
+                base[own], share[own] = logs(of[own], c[own])
+                base[0] = math.log10((ends + 1) / total)
+                known[c > 0] = 1
+                ids, lengths = _numbers(batch, i, "ids", np.int32), _listed(batch, i, "lengths")
+                sums = lambda x: np.add.reduceat(x[ids], np.cumsum(lengths) - lengths)
+                classes = of[ids]
+                yield record_batch(_PARTLY, {**{x: [batch.column(x)[i].as_py()] for x in ("chunk", "doc_ids", "held", "lengths", "shapes")}, "known": [sums(known).astype(np.int64)], "base": [sums(base)],
+                                             "emitted": [sums(share)], "classes": [classes.astype(np.uint16).tobytes()], "rare": [ids[classes == _OPEN].tobytes()]})
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                of = home[_numbers(batch, i, "shapes", np.uint8)]
+                c = np.zeros(len(of), np.int64)
                 if (answers := batch.column("answers")[i].values) is not None:
                     number = np.asarray(answers.field("number"))
                     of[number], c[number] = np.asarray(answers.field("class")), np.asarray(answers.field("c"))
-                c[0] = ends
-                with np.errstate(divide="ignore"):
-                    share = np.where(open_classes[of], (c + 1) / (tokens[of] + words[of] + 1), c / np.maximum(tokens[of], 1))
-                    share[0] = 1
-                    share, base = np.log10(share), np.log10((c + 1) / total)
-                ids, lengths = _numbers(batch, i, "ids", np.int32), _listed(batch, i, "lengths")
-                starts = np.cumsum(lengths) - lengths
-                sums = lambda x: [np.add.reduceat(x[ids], starts)]
-                yield record_batch(_CLASSED, {**{x: [batch.column(x)[i].as_py()] for x in ("doc_ids", "held", "lengths")}, "known": sums((c > 0).astype(np.int64)), "base": sums(base), "emitted": sums(share),
-                                              "classes": [of[ids].astype(np.uint16).tobytes()]})
-
+                of_token, rare, lengths = _numbers(batch, i, "classes", np.uint16).copy(), _numbers(batch, i, "rare", np.int32), _listed(batch, i, "lengths")
+                document = np.repeat(np.arange(len(lengths)), lengths)[of_token == _OPEN]
+                of_token[of_token == _OPEN] = of[rare]
+                more = lambda x: np.bincount(document, x[rare], len(lengths))
+                base, share = logs(of, c)
+                sums = {"known": more((c > 0).astype(np.int64)).astype(np.int64), "base": more(base), "emitted": more(share)}
+                rest = {name: [_listed(batch, i, name) + x] for name, x in sums.items()}
+                yield record_batch(_CLASSED, {**{x: [batch.column(x)[i].as_py()] for x in ("doc_ids", "held", "lengths")}, **rest, "classes": [of_token.tobytes()]})
+
+    partly = chunks.select("chunk", "doc_ids", "held", "lengths", "ids", "words", "shapes").mapInArrow(frequent_words, f"chunk long, {_CLASSED_DDL}, rare binary, shapes binary")
     answers = model.rest.groupBy("chunk").agg(F.collect_list(F.struct("number", "class", "c")).alias("answers"))
-    joined = chunks.join(answers, "chunk", "left").select("doc_ids", "held", "lengths", "ids", "words", "shapes", "answers")
-    return materialize(joined.mapInArrow(run, _CLASSED_DDL), codec="zstd")
+    return materialize(partly.join(answers, "chunk", "left").drop("chunk").mapInArrow(rare_words, _CLASSED_DDL), codec="zstd")
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
